@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -82,3 +85,20 @@ def clean(text: str | None) -> bytes:
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions of the session."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def extend(docs: DataFrame, made: T.StructType, fill: Callable[[pa.RecordBatch], list[list]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Adds columns that Python fills batch by batch; they replace input columns of the same names.
+
+    A batch is all that a worker holds, so memory doesn't grow with the input. Columns in drop are read but not returned.
+    """
+    keep = [c for c in docs.columns if c not in made.names and c not in drop]
+    types = [f.type for f in to_arrow_schema(made)]
+    names = [*keep, *made.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [pa.array(values, t) for values, t in zip(fill(batch), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *made.fields]))

@@ -10,8 +10,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, url_filter
-from .common import table
+from . import crf_quality, decontaminate, language_id, mixing, pii, quality_rules, secrets, url_filter
+from .common import remainder, stored, table
+from .spans import joined, of_kind
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = [of_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +26,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
+    model = crf_quality.train(docs, labels.where(remainder(4) != 2))
+    scored = crf_quality.score(docs, model, drop=("text",))
+    return scored.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), drop=("text",))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = language_id.train(table(spark, sf_dir, "documents", "doc_id", "text", "lang").where(remainder(4) != 2))
+    found = language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text"), model, drop=("text",))
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,9 +54,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_measured(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stored(pii.candidates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text"))
+    spans = pii.classified(found, pii.fit(found)).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    return spans.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries, by name."""
-    return {f.__name__: f for f in (op3_url_filter, op8_source_mixing, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op5_quality_classifier, op6_decontamination, op7_language_id, op8_source_mixing, op9_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
