@@ -1,20 +1,65 @@
-"""The corpus pipeline: STAGES in order, each working on all that the one before it kept."""
+"""The corpus pipeline: STAGES in order, each working on all that the one before it kept.
+
+Counted as part of the subpackage `llm`. All stages but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm import decontaminate, jaccard_join, language_id, mixing, pii, spans
+from corpusmill.llm.common import table, whole, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose language can't be told: those without a letter. Learns from the given `lang`s."""
+    model = language_id.train(docs)
+    return language_id.identify(docs, model).where("lang_pred != 'und'").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each component of near copies: that with the smallest doc_id, once."""
+    links = jaccard_join.linked(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(links, "doc_id", "left_semi")
+    # rows that repeat a doc_id: one stays, by text and then by the other columns
+    first = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
+    once = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = kept.join(once.where("n = 1"), "doc_id", "left_semi")
+    repeated = kept.join(once.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
+    nameless = docs.where("doc_id is null")
+    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(nameless.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontaminate.scan(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).where("not contaminated").select(*COLUMNS)
+
 
-from corpusmill.llm import mixing
-from corpusmill.llm.common import table, written
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the kind's name in brackets in place of each span of personal data; all documents stay."""
+    found = pii.detect(docs)
+    masked = spans.replaced(whole(), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    out = found.withColumn("text", F.when(F.col("text").isNotNull(), masked))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the tokens that it takes of each."""
-    return mixing.mix(docs)
+    """The documents that the mix takes, with the tokens that it takes of each, repeats counted."""
+    return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-STAGES = [("mixing", mix_sources)]
+STAGES = [
+    ("language_id", identify_language),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("source_mixing", mix_sources),
+]
 
+#: SQL can't express suffix automata or fitted span classifiers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

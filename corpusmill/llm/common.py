@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,19 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+class Shipped:
+    """A broadcast of a Python object with the code of its class; a worker unpacks it once."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):  # noqa: ANN201
+        if not hasattr(self._sent, "unpacked"):
+            self._sent.unpacked = cloudpickle.loads(self._sent.value)
+        return self._sent.unpacked
+
+
 def extend(docs: DataFrame, made: T.StructType, fill: Callable[[pa.RecordBatch], list[list]], drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds columns that Python fills batch by batch; they replace input columns of the same names.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import clean, extend
+from .common import Shipped, clean, extend
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents searches for; more of it takes more passes.
@@ -101,7 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, pass_by
     out = docs
     for k in range(passes):
         part = keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        sent = spark.sparkContext.broadcast(compiled([(r.item, r.text) for r in part.collect()], window))
+        sent = Shipped(spark, compiled([(r.item, r.text) for r in part.collect()], window))
 
         def fill(batch: pa.RecordBatch, sent=sent, first: bool = not k) -> list[list]:  # noqa: ANN001
             columns: list[list] = [[], [], [], []]

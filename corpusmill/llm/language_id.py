@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend
+from .common import Shipped, extend
 
 #: The bounded training sample: documents a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 48, 2_000, 32_000
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataF
     Texts that are null, empty or without a letter get `und` and 0. Ties go to the language that sorts first. Repeated
     rows get the same answer; other columns stay, except those named like an output.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Shipped(docs.sparkSession, model)
 
     def fill(batch: pa.RecordBatch) -> list[list]:
         texts, languages, scores = batch.column("text"), [], []

@@ -10,11 +10,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_quality, decontaminate, language_id, mixing, pii, quality_rules, secrets, url_filter
+from . import crf_quality, decontaminate, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, secrets, url_filter
 from .common import remainder, stored, table
 from .spans import joined, of_kind
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(10) == 0
+    scored = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [of_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
@@ -26,6 +32,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality")
     model = crf_quality.train(docs, labels.where(remainder(4) != 2))
@@ -63,7 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The operators' queries, by name."""
-    return {f.__name__: f for f in (op2_secret_scan, op3_url_filter, op5_quality_classifier, op6_decontamination, op7_language_id, op8_source_mixing, op9_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_url_filter, op4_ngram_jaccard_join, op5_quality_classifier, op6_decontamination, op7_language_id, op8_source_mixing, op9_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
