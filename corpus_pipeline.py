@@ -5,7 +5,7 @@ Counted as part of the subpackage `llm`. All stages but the last return the colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard_join, language_id, mixing, pii, spans
@@ -21,16 +21,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: that with the smallest doc_id, once."""
-    links = jaccard_join.linked(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(links, "doc_id", "left_semi")
-    # rows that repeat a doc_id: one stays, by text and then by the other columns
-    first = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
-    once = kept.groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = kept.join(once.where("n = 1"), "doc_id", "left_semi")
-    repeated = kept.join(once.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
-    nameless = docs.where("doc_id is null")
-    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(nameless.select(*COLUMNS))
+    """Keeps one document of each component of near copies: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id the first stays, by text and then by the other columns; rows without one all stay.
+    """
+    chosen = jaccard_join.linked(docs).where("doc_id = component_id").select("doc_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
+    once = docs.join(chosen, "doc_id").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return once.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
