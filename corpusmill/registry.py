@@ -1,4 +1,4 @@
-"""Queries of the engine's own operators and their DuckDB SQL."""
+"""Queries of the engine's own operators and their DuckDB SQL, gathered from the modules of `plans`."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import items, tables
+
+MODULES = (items, tables)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
