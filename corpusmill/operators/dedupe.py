@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import stored
 
@@ -67,7 +68,7 @@ def _signatures(texts: list[str | None]) -> Iterator[tuple[list[int] | None, lis
 
 def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, sig, shingles): MinHash signature and shingle hashes; both null for texts of fewer than MIN_TOKENS words."""
-    schema = docs.select(key).schema.add("sig", "array<bigint>").add("shingles", "array<bigint>")
+    schema = docs.select(key).schema.add("sig", T.ArrayType(T.LongType())).add("shingles", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -70,8 +70,8 @@ NEAR = f"""with w as (select doc_id, regexp_extract_all(lower(text), '{EDGE}+')
  k as (select *, min(doc_id) over (partition by list_sort(sh)) as lead from s),
  r as (select doc_id, sh from k where doc_id = lead),
  e as (select doc_id, len(sh) as n, unnest(sh) as x from r),
- o as (select a.doc_id as a, b.doc_id as b, count(*) as both, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2)
- select a, b, round(both::double / (na + nb - both), 9) as similarity from o where both::double / (na + nb - both) >= 0.8
+ o as (select a.doc_id as a, b.doc_id as b, count(*) as common_n, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2)
+ select a, b, round(common_n::double / (na + nb - common_n), 9) as similarity from o where common_n::double / (na + nb - common_n) >= 0.8
  union all select lead, doc_id, 1.0 from k where doc_id <> lead"""
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import items, tables
+from .plans import items, study, tables
 
-MODULES = (items, tables)
+MODULES = (items, tables, study)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
