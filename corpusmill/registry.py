@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import items, study, tables
+from .plans import evidence, items, study, tables
 
-MODULES = (items, tables, study)
+MODULES = (items, tables, study, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
