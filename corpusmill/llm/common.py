@@ -98,6 +98,7 @@ class Shipped:
     def value(self):  # noqa: ANN201
         if not hasattr(self._sent, "unpacked"):
             self._sent.unpacked = cloudpickle.loads(self._sent.value)
+            self._sent.__dict__.pop("_value", None)  # one copy is enough
         return self._sent.unpacked
 
 

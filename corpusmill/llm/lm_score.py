@@ -22,25 +22,40 @@ from pyspark.sql import functions as F
 
 from .common import Shipped, clean, written
 
-#: Level q stands for counts from BASE ** (q - 1) up to BASE ** q; K bits are set per entry, BITS are provided for it.
-BASE, K, BITS = 1.5, 6, 8.7
+#: Level q stands for counts from BASE ** (q - 1) up to BASE ** q; K bits of one 64-bit word are set per entry, and BITS
+#: are provided for it.
+BASE, K, BITS = 1.5, 5, 9.0
 #: The filter's bound. Where all pairs don't fit, a segment keeps those from the smallest count on with which they do.
 MAX_BYTES = 96_000_000
 ALPHA = 0.1
-FLUSH = 3_000_000
+#: Tokens that a task holds before it hands counts on, and words that it knows by heart.
+FLUSH, KNOWN = 2_000_000, 300_000
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
-_PAIR, _FOLLOW, _PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
+_PAIR, _PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA54FF53A5F1D36F1)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, made once each; it forgets them when they get many."""
+class Vocabulary(dict):
+    """Numbers of words in the order in which they come, and their 64-bit hashes; number 0 is a text's end."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.hashes = [int(END)]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        number = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """Numbers of a text's lower-cased words, then of its end."""
+        words = clean(text).translate(_LOWER).split()
+        out = np.zeros(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
+
+    def array(self) -> np.ndarray:
+        return np.array(self.hashes, np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,23 +64,22 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of a text's lower-cased words, then of its end."""
-    words = clean(text).translate(_LOWER).split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = list(map(hashes.__getitem__, words))
-    out[-1] = END
-    return out
+def pair_keys(before: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Keys of tokens, each with the one before it."""
+    return mixed(before * _PAIR + t)
 
 
-def pair_keys(t: np.ndarray) -> np.ndarray:
-    """Keys of each token with the one before it; the first comes after the start."""
-    before = np.concatenate([[START], t[:-1]]).astype(np.uint64)
-    return mixed(before * _PAIR + t)
+def befores(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The token before each; the start where a text begins."""
+    out = np.empty_like(t)
+    out[1:] = t[:-1]
+    out[starts] = START
+    return out
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return (mixed(h) >> np.uint64(44)).astype(np.int64) * segments >> 20
+    """Segments are ranges of hashes, so that sorted hashes fall into them in order."""
+    return (h >> np.uint64(44)).astype(np.int64) * segments >> 20
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -80,61 +94,53 @@ def midpoints(level: np.ndarray) -> np.ndarray:
 
 
 class LogFilter:
-    """A Bloom filter in segments of their own sizes; bits is one byte array, cuts the segments' first bytes."""
+    """A Bloom filter of 64-bit words in segments of their own sizes; cuts are the segments' first words."""
 
-    def __init__(self, bits: np.ndarray, cuts: np.ndarray) -> None:
-        self.bits, self.cuts = bits, cuts
+    def __init__(self, words: np.ndarray, cuts: np.ndarray) -> None:
+        self.words, self.cuts = words, cuts
 
     @staticmethod
-    def places(keys: np.ndarray, level: np.ndarray | int, k: int, size: np.ndarray | int) -> np.ndarray:
-        """Bit places of the k-th hash of (key, level) among so many bits."""
+    def place(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """The word of (key, level) among so many, and the bits in it: one look into memory answers a probe."""
         h = mixed(keys + np.asarray(level).astype(np.uint64) * _PROBE)
-        second = mixed(h ^ _FOLLOW) | np.uint64(1)
-        return (h + np.uint64(k) * second) % np.asarray(size).astype(np.uint64)
+        at = ((h >> np.uint64(32)) * np.asarray(size).astype(np.uint64)) >> np.uint64(32)
+        mask = np.zeros(len(h), np.uint64)
+        for k in range(K):
+            mask |= np.uint64(1) << ((h >> np.uint64(6 * k)) & np.uint64(63))
+        return at.astype(np.int64), mask
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key: level after level is probed until a bit is missing."""
+        """The level of each key: level after level is probed until one is missing."""
         out = np.zeros(len(keys), np.int64)
-        segments = len(self.cuts) - 1
-        seg = segment_of(keys, segments)
-        first, size = self.cuts[seg], (self.cuts[seg + 1] - self.cuts[seg]) * 8
-        alive = np.flatnonzero(size > 0)
-        level = 1
+        seg = segment_of(keys, len(self.cuts) - 1)
+        first, size = self.cuts[seg], self.cuts[seg + 1] - self.cuts[seg]
+        alive, level = np.flatnonzero(size > 0), 1
         while len(alive):
-            for k in range(K):
-                at = self.places(keys[alive], level, k, size[alive])
-                byte = self.bits[first[alive] + (at >> np.uint64(3)).astype(np.int64)]
-                alive = alive[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
+            at, mask = self.place(keys[alive], level, size[alive])
+            alive = alive[(self.words[first[alive] + at] & mask) == mask]
             out[alive] = level
             level += 1
         return out
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key; equal keys are probed once."""
-        some, where = np.unique(keys, return_inverse=True)
-        return midpoints(self.levels(some))[where]
 
-
-def filled(keys: np.ndarray, level: np.ndarray, n_bytes: int) -> np.ndarray:
-    """A segment's bits with all entries of the keys set."""
-    bits = np.zeros(n_bytes * 8, bool)
+def filled(keys: np.ndarray, level: np.ndarray, n_words: int) -> np.ndarray:
+    """A segment's words with all entries of the keys set."""
+    words = np.zeros(n_words, np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
-        at = keys[level >= q]
-        for k in range(K):
-            bits[LogFilter.places(at, q, k, n_bytes * 8)] = True
-    return np.packbits(bits, bitorder="little")
+        at, mask = LogFilter.place(keys[level >= q], q, n_words)
+        order = np.argsort(at, kind="stable")
+        at, mask = at[order], mask[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        words[at[first]] |= np.bitwise_or.reduceat(mask, first)
+    return words
 
 
 def by_segment(keys: np.ndarray, counts: np.ndarray | None, segments: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """Keys (and counts) of each segment that has any, as bytes."""
-    seg = segment_of(keys, segments)
-    order = np.argsort(seg, kind="stable")
-    cuts = np.searchsorted(seg[order], np.arange(segments + 1))
+    """Sorted keys (and counts) of each segment that has any, as bytes."""
+    cuts = np.searchsorted(segment_of(keys, segments), np.arange(segments + 1))
     for s in range(segments):
         if cuts[s] < cuts[s + 1]:
-            own = order[cuts[s] : cuts[s + 1]]
+            own = slice(cuts[s], cuts[s + 1])
             yield s, keys[own].tobytes(), b"" if counts is None else counts[own].astype(np.uint32).tobytes()
 
 
@@ -147,22 +153,29 @@ def gathered(docs: DataFrame, segments: int) -> DataFrame:
     def batch_of(rows: list[tuple[int, bool, bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["seg", "pairs", "keys", "counts"])
 
-    def emit(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for pairs, arrays in ((False, held), (True, [pair_keys(t) for t in held])):
-            keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
-            yield batch_of([(s, pairs, k, c) for s, k, c in by_segment(keys, counts, segments)])
+    def emit(held: list[np.ndarray], hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        numbers = np.concatenate(held)
+        counts = np.bincount(numbers, minlength=len(hashes))
+        order = np.argsort(hashes)
+        order = order[counts[order] > 0]
+        yield batch_of([(s, False, k, c) for s, k, c in by_segment(hashes[order], counts[order], segments)])
+        t = hashes[numbers]
+        pairs = np.sort(pair_keys(befores(t, np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])), t))
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+        yield batch_of([(s, True, k, c) for s, k, c in by_segment(pairs[first], np.diff(np.append(first, len(pairs))), segments)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), [], 0
+        words, held, n = Vocabulary(), [], 0
         for batch in batches:
             for text in batch.column("text"):
-                held.append(tokens(text.as_py(), hashes))
+                held.append(words.numbers(text.as_py()))
                 n += len(held[-1])
                 if n >= FLUSH:
-                    yield from emit(held)
+                    yield from emit(held, words.array())
                     held, n = [], 0
+                    words = Vocabulary() if len(words) > KNOWN else words
         if held:
-            yield from emit(held)
+            yield from emit(held, words.array())
 
     return docs.select("text").mapInArrow(run, "seg int, pairs boolean, keys binary, counts binary")
 
@@ -182,18 +195,18 @@ def learned(counts: DataFrame, segments: int, max_bytes: int = MAX_BYTES) -> Dat
     All words enter the filter; of the pairs those from a smallest count on with which the segment keeps to its share
     of max_bytes. That count is 1 unless the bound asks for more.
     """
-    room = max_bytes // segments
+    room = max(1, max_bytes // segments // 8)
 
     def run(table: pa.Table) -> pa.Table:
         pairs = np.array(table.column("pairs").to_pylist())
         keys, parts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
         (words, n), (twos, m) = (added([keys[i] for i in np.flatnonzero(pairs == p)], [parts[i] for i in np.flatnonzero(pairs == p)]) for p in (False, True))
         q, r = levels(n), levels(m)
-        least, need = 1, lambda least: int((q.sum() + r[m >= least].sum()) * BITS / 8) + 8
+        least, need = 1, lambda least: int((q.sum() + r[m >= least].sum()) * BITS / 64) + 1
         while need(least) > room and least < m.max(initial=1):
             least += 1
         keep = m >= least
-        bits = filled(np.concatenate([words, twos[keep]]), np.concatenate([q, r[keep]]), min(need(least), max(room, 8)))
+        bits = filled(np.concatenate([words, twos[keep]]), np.concatenate([q, r[keep]]), min(need(least), room))
         row = (table.column("seg")[0].as_py(), words.tobytes(), n.astype(np.int64).tobytes(), int(n.sum()), len(words), least, bits.tobytes())
         types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["seg", "words", "counts", "tokens", "types", "least", "bits"])
@@ -204,20 +217,20 @@ def learned(counts: DataFrame, segments: int, max_bytes: int = MAX_BYTES) -> Dat
 def asked(docs: DataFrame, segments: int) -> DataFrame:
     """Rows (seg, block, keys): the distinct words of each block of documents, by segment."""
 
-    def emit(held: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        for block, arrays in held.items():
-            rows = list(by_segment(np.unique(np.concatenate(arrays)), None, segments))
+    def emit(held: dict[int, set[bytes]]) -> Iterator[pa.RecordBatch]:
+        for block, words in held.items():
+            keys = np.sort(np.array([int(END), *map(xxhash.xxh3_64_intdigest, words)], np.uint64))
+            rows = list(by_segment(keys, None, segments))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "block", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n = WordHashes(), {}, 0
+        held: dict[int, set[bytes]] = {}
         for batch in batches:
             for text, block in zip(batch.column("text"), batch.column("block").to_pylist(), strict=True):
-                held.setdefault(block, []).append(np.unique(tokens(text.as_py(), hashes)))
-                n += len(held[block][-1])
-                if n >= FLUSH:
+                held.setdefault(block, set()).update(clean(text.as_py()).translate(_LOWER).split())
+                if len(held[block]) >= 2 * KNOWN:
                     yield from emit(held)
-                    held, n = {}, 0
+                    held = {}
         if held:
             yield from emit(held)
 
@@ -255,14 +268,18 @@ class Scorer:
         """log10 of the base probabilities, from counts."""
         return np.log10((counts + ALPHA) / (self.n_tokens + ALPHA * (self.n_types + 1)))
 
-    def log10(self, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token after the one before it; starts marks the first tokens of texts."""
-        before = np.concatenate([[START], t[:-1]]).astype(np.uint64)
-        before[starts] = START
-        single = self.bits.counts(t)
-        context = np.concatenate([[0.0], single[:-1]])
-        context[starts] = self.n_docs
-        both = np.minimum(self.bits.counts(mixed(before * _PAIR + t)), np.minimum(context, single))
+    def single(self, keys: np.ndarray) -> np.ndarray:
+        """The filter's counts of words."""
+        return midpoints(self.bits.levels(keys))
+
+    def log10(self, before: np.ndarray, t: np.ndarray, context: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens after those before them, of which the filter's counts are given.
+
+        Equal pairs are probed once. A pair is no more frequent than its words.
+        """
+        keys = pair_keys(before, t)
+        some, where = np.unique(keys, return_inverse=True)
+        both = np.minimum(midpoints(self.bits.levels(some))[where], np.minimum(context, single))
         return np.log10((both + self.pull * 10.0 ** self.base(single)) / (context + self.pull))
 
 
@@ -273,25 +290,33 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
     names = schema.names
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, hashes = sent.value, WordHashes()
+        model, words = sent.value, Vocabulary()
         known = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
         order = np.argsort(known)
         known, counts = known[order], counts[order]
         out: tuple[list, ...] = ([], [], [], [])
+        hashes, exact, single = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
 
         def flush(held: list[np.ndarray]) -> None:
+            nonlocal hashes, exact, single
+            fresh = np.array(words.hashes[len(hashes) :], np.uint64)
+            at = np.minimum(np.searchsorted(known, fresh), max(0, len(known) - 1))
+            found = np.where(known[at] == fresh, counts[at], 0) if len(known) else np.zeros(len(fresh), np.int64)
+            hashes, exact, single = np.concatenate([hashes, fresh]), np.concatenate([exact, found]), np.concatenate([single, model.single(fresh)])
             sizes = np.array([len(t) for t in held])
             first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            t = np.concatenate(held)
-            at = np.minimum(np.searchsorted(known, t), max(0, len(known) - 1))
-            c = np.where(known[at] == t, counts[at], 0) if len(known) else np.zeros(len(t), np.int64)
-            for column, value in zip(out, (sizes, np.add.reduceat(c > 0, first, dtype=np.int64), np.add.reduceat(model.base(c), first), np.add.reduceat(model.log10(t, first), first)), strict=True):
+            numbers = np.concatenate(held)
+            t, c, q = hashes[numbers], exact[numbers], single[numbers]
+            context = np.empty_like(q)
+            context[1:] = q[:-1]
+            context[first] = model.n_docs
+            for column, value in zip(out, (sizes, np.add.reduceat(c > 0, first, dtype=np.int64), np.add.reduceat(model.base(exact)[numbers], first), np.add.reduceat(model.log10(befores(t, first), t, context, q), first)), strict=True):
                 column.extend(value.tolist())
 
         held, n = [], 0
         for text in left.column("text"):
-            held.append(tokens(text.as_py(), hashes))
+            held.append(words.numbers(text.as_py()))
             n += len(held[-1])
             if n >= 1_000_000:
                 flush(held)
@@ -303,7 +328,7 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def score(docs: DataFrame, training: Column | None = None, *, segments: int | None = None, max_bytes: int = MAX_BYTES, pull: float = 100.0) -> DataFrame:
+def score(docs: DataFrame, training: Column | None = None, *, segments: int | None = None, max_bytes: int = MAX_BYTES, pull: float = 1000.0) -> DataFrame:
     """Rows doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     The model learns from the rows where `training` holds (null: all). Null and empty texts are an end alone. Without
@@ -322,8 +347,8 @@ def score(docs: DataFrame, training: Column | None = None, *, segments: int | No
     model = written(learned(gathered(learn, segments), segments, max_bytes), "lm-model")
     n_docs = learn.select("doc_id").count()
     rows = {r.seg: r for r in model.select("seg", "tokens", "types", "bits").collect()}
-    sizes = [len(rows[s].bits) if s in rows else 0 for s in range(segments)]
-    bits = np.frombuffer(b"".join(bytes(rows[s].bits) for s in sorted(rows)), np.uint8)
+    sizes = [len(rows[s].bits) // 8 if s in rows else 0 for s in range(segments)]
+    bits = np.frombuffer(b"".join(bytes(rows[s].bits) for s in sorted(rows)), np.uint64)
     n_tokens = sum(r.tokens for r in rows.values())
     scorer = Scorer(LogFilter(bits, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), n_tokens, sum(r.types for r in rows.values()), n_docs, pull)
     del rows

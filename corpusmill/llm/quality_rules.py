@@ -85,7 +85,7 @@ def vote(share: str, bad: float, good: float) -> Column:
 BELIEF = {-1: (0.01, 0.3), 0: (0.04, 0.2), 1: (0.95, 0.5)}
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = 0.5, balance: float = 0.8) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = 0.5, balance: float = 0.65) -> tuple[float, list[dict[int, float]]]:
     """EM over vote patterns and their counts: the log prior odds of good, and each rule's log odds by vote.
 
     It starts from documents without a bad vote as good. The classes' balance is given, not learned: each kind of junk
