@@ -194,7 +194,7 @@ def ols(rows: DataFrame, y: str, xs: list[str]) -> dict[str, tuple[float, float]
 
 def p_value(spark, family: str, statistic: float, *parameters: float) -> float:  # noqa: ANN001
     """Upper-tail probability of a statistic on the driver: family is chi2 (df), t (df, two-sided) or f (df1, df2)."""
-    d = spark._jvm.org.apache.commons.math3.distribution
+    d, parameters = spark._jvm.org.apache.commons.math3.distribution, tuple(map(float, parameters))
     if family == "chi2":
         return 1.0 - d.ChiSquaredDistribution(parameters[0]).cumulativeProbability(statistic)
     if family == "t":

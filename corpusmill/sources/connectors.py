@@ -87,10 +87,9 @@ def scan_raw(spark: SparkSession, path: str) -> DataFrame:
 def scan_items(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Items of JSON lines, and the lines that don't parse: they are counted, not fatal."""
     withbad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(withbad).option("mode", "PERMISSIVE").option("lineSep", "\n").json(path)
-    lines = spark.read.option("lineSep", "\n").text(path)
-    bad = lines.where((F.trim("value") != "") & F.from_json("value", withbad, {"mode": "PERMISSIVE"})["_corrupt_record"].isNotNull())
-    return rows.where("_corrupt_record is null").drop("_corrupt_record"), bad
+    lines = spark.read.option("lineSep", "\n").text(path).where(F.trim("value") != "")
+    parsed = lines.withColumn("r", F.from_json("value", withbad, {"mode": "PERMISSIVE"}))
+    return parsed.where("r._corrupt_record is null").select(*(F.col(f"r.{f.name}") for f in schema.fields)), parsed.where("r._corrupt_record is not null").select("value")
 
 
 def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
@@ -112,7 +111,7 @@ def scan_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 def cell_lists(value: Column) -> Column:
     """The distinct entries of a cell that lists by comma, semicolon or bar."""
-    return F.array_distinct(F.filter(F.transform(F.split(value, "[,;|]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, "[,;|]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def flat_csv(rows: DataFrame) -> DataFrame:
