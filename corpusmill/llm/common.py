@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +90,32 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+
+
+class Vocabulary(dict):
+    """Numbers of lower-cased words in the order in which they come, and their 64-bit hashes."""
+
+    def __init__(self, first: tuple[int, ...] = ()) -> None:
+        super().__init__()
+        self.hashes = list(first)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.hashes)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+    def numbers(self, text: str | None, after: int = 0) -> np.ndarray:
+        """Numbers of a text's words `[^\\x20\\x09-\\x0D]+`, then so many zeros."""
+        words = clean(text).translate(_LOWER).split()
+        out = np.zeros(len(words) + after, np.int32)
+        out[: len(words)] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+        return out
+
+    def array(self) -> np.ndarray:
+        return np.array(self.hashes, np.uint64)
+
+
 class Shipped:
     """A broadcast of a Python object with the code of its class; a worker unpacks it once."""
 

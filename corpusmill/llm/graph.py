@@ -8,25 +8,36 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+#: Rows of small tables that one task works on: their partitions follow their size, whatever the session's number.
+ROWS_A_TASK = 100_000
+
+
+def tasks(n: int) -> int:
+    """Partitions for a table that holds at most n rows."""
+    return max(1, -(-n // ROWS_A_TASK))
+
+
+def components(links: DataFrame, n_links: int, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of the links (a, b): the smallest node that links reach from it.
 
     Each step groups by node with a map-side minimum and joins it back, so that a node with very many links stays
-    spread; no list of neighbours is ever collected. It ends when a pass changes nothing.
+    spread; no list of neighbours is ever collected. It ends when a pass changes nothing. No step makes more than twice
+    n_links rows, which sets the number of tasks.
     """
-    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    k = tasks(2 * n_links)
+    edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(k))
     before = None
     for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(k)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").coalesce(k)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.distinct())
+        joined = large.join(least, "u").coalesce(k)
+        small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        edges = stored(small.coalesce(k).distinct().coalesce(k))
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
         before = state
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).coalesce(k)

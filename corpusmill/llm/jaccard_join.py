@@ -7,7 +7,7 @@ meeting; a candidate pair's overlap is counted in each fragment separately and s
 
 For components not every pair need be compared: star rounds first compare each class with the best leader of its
 prefix shingles and merge what links; then all pairs that still lie in different components and meet in a prefix are
-compared, so that no link between components is lost.
+compared, so that no link between components is lost. Small tables get as many tasks as their rows ask for.
 """
 
 from __future__ import annotations
@@ -20,28 +20,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean, stored
-from .graph import components
+from .common import Vocabulary, stored
+from .graph import components, tasks
 
 WORDS = 5
 #: Fragments that a pair's overlap is summed over, and star rounds before the full comparison.
 FRAGMENTS, STAR_ROUNDS = 4, 2
-#: Shingles that a map task holds before it hands them on.
-FLUSH = 1_500_000
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Shingles that a map task holds before it hands them on, and that a segment of the order holds on the average; words
+#: that a task knows by heart.
+FLUSH, SEGMENT_SHINGLES, KNOWN = 1_500_000, 2_500_000, 300_000
+#: Bits of a shingle's hash that travel within a segment, and bytes of a class's name.
+BITS, NAME = 40, 12
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, made once each; it forgets them when they get many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finishes a hash so that all its bits depend on all others."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -49,22 +41,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a shorter text's words make one; none without words."""
-    tokens = clean(text).translate(_LOWER).split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(hashes.__getitem__, tokens)), np.uint64)
-    width = min(words, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = total * _K + h[i : len(h) - width + 1 + i]
-    return np.unique(mixed(total))
+def shingled(texts: Iterator[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; a shorter text's words make one; none without words."""
+    known, hashes = Vocabulary(), np.zeros(0, np.uint64)
+    for text in texts:
+        numbers = known.numbers(text)
+        if len(known.hashes) > len(hashes):
+            hashes = np.concatenate([hashes, np.array(known.hashes[len(hashes) :], np.uint64)])
+        if not len(numbers):
+            yield np.zeros(0, np.uint64)
+            continue
+        h = hashes[numbers]
+        width = min(words, len(h))
+        total = np.full(len(h) - width + 1, width, np.uint64)
+        for i in range(width):
+            total = total * _K + h[i : len(h) - width + 1 + i]
+        yield np.unique(mixed(total))
+        if len(known) > KNOWN:
+            known, hashes = Vocabulary(), np.zeros(0, np.uint64)
 
 
 def class_of(found: np.ndarray) -> bytes | None:
-    """A 128-bit name of a shingle set; None for the empty set."""
-    return xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
+    """A 96-bit name of a shingle set; None for the empty set."""
+    return xxhash.xxh3_128_digest(found.tobytes())[:NAME] if len(found) else None
 
 
 def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -72,14 +71,23 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
     schema = docs.select("doc_id").schema.add("n_shingles", "long").add("cls", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(t, hashes, words) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sets), pa.binary())], names=["doc_id", "n_shingles", "cls"])
+            made = [(len(s), class_of(s)) for s in shingled((t.as_py() for t in batch.column("text")), words)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.binary())], names=["doc_id", "n_shingles", "cls"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The low BITS bits of hashes, 4 bytes of each and then 1 of each: a segment's hashes share the high ones."""
+    return h.astype(np.uint32).tobytes() + (h >> np.uint64(32)).astype(np.uint8).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
 def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
     """Rows (seg, hashes, classes, runs): the shingles of each class in a segment of the order, many classes a row.
 
@@ -90,35 +98,33 @@ def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
         everything = np.concatenate(sets)
         cls = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         seg = (everything >> np.uint64(44)).astype(np.int64) * segments >> 20
-        order = np.lexsort((cls, seg))
+        order = np.argsort(seg, kind="stable")
         everything, cls, seg = everything[order], cls[order], seg[order]
         cuts = np.searchsorted(seg, np.arange(segments + 1))
-        name = np.frombuffer(b"".join(names), "V16")
+        name = np.frombuffer(b"".join(names), f"V{NAME}")
         rows: tuple[list, ...] = ([], [], [], [])
         for s in range(segments):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
                 own, runs = np.unique(cls[a:b], return_counts=True)
-                for column, value in zip(rows, (s, everything[a:b].tobytes(), name[own].tobytes(), runs.astype(np.int32).tobytes()), strict=True):
+                for column, value in zip(rows, (s, packed(everything[a:b]), name[own].tobytes(), runs.astype(np.int32).tobytes()), strict=True):
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["seg", "hashes", "classes", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen: set[bytes] = set()
         sets, names, held = [], [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                found = shingles(text.as_py(), hashes, words)
-                name = class_of(found)
-                if name is None or name in seen:
-                    continue
-                seen.add(name)
-                sets.append(found)
-                names.append(name)
-                held += len(found)
-                if held >= FLUSH:
-                    yield emit(sets, names)
-                    sets, names, held = [], [], 0
+        for found in shingled((t.as_py() for batch in batches for t in batch.column("text")), words):
+            name = class_of(found)
+            if name is None or name in seen:
+                continue
+            seen.add(name)
+            sets.append(found)
+            names.append(name)
+            held += len(found)
+            if held >= FLUSH:
+                yield emit(sets, names)
+                sets, names, held = [], [], 0
         if sets:
             yield emit(sets, names)
 
@@ -132,15 +138,16 @@ def shared(pieces: DataFrame, segments: int, fragments: int = FRAGMENTS) -> Data
     """
 
     def run(table: pa.Table) -> pa.Table:
-        frag = table.column("seg")[0].as_py() * fragments // segments
-        classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), "V16")
+        seg = table.column("seg")[0].as_py()
+        frag = seg * fragments // segments
+        classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), f"V{NAME}")
         runs = np.frombuffer(b"".join(table.column("runs").to_pylist()), np.int32)
-        hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        hashes = np.concatenate([unpacked(x.as_py()) for x in table.column("hashes")])
         names, first = np.unique(classes, return_index=True)
         starts = np.concatenate([[0], np.cumsum(runs)[:-1]])[first]
         sizes = runs[first]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        h, cls = hashes[at], np.repeat(np.arange(len(names)), sizes)
+        h, cls = hashes[at] | np.uint64(seg << BITS), np.repeat(np.arange(len(names), dtype=np.int32), sizes)
         order = np.argsort(h, kind="stable")
         h, cls = h[order], cls[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
@@ -158,6 +165,22 @@ def shared(pieces: DataFrame, segments: int, fragments: int = FRAGMENTS) -> Data
     return pieces.groupBy("seg").applyInArrow(run, "cls binary, frag int, k int, hashes binary, dfs binary")
 
 
+def pieces(survivors: DataFrame) -> DataFrame:
+    """Rows (cls, frag, hashes): each class's shared shingles by fragment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, parts in zip(batch.column("cls").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                by: dict[int, list[bytes]] = {}
+                for p in parts:
+                    by.setdefault(p["frag"], []).append(p["hashes"])
+                rows += [(name, frag, b"".join(blobs)) for frag, blobs in sorted(by.items())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.binary()))], names=["cls", "frag", "hashes"])
+
+    return survivors.mapInArrow(run, "cls binary, frag int, hashes binary")
+
+
 def prefixes(survivors: DataFrame) -> DataFrame:
     """Rows (token, cls, n, pos, lone): each shingle of a class's prefix, its place in the class's order.
 
@@ -187,7 +210,10 @@ def prefixes(survivors: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that link, by overlaps counted in each fragment and summed."""
+    """The pairs (a, b, na, nb) that link, by overlaps counted in each fragment and summed.
+
+    A fragment of either side travels to its pairs; one that a side lacks adds nothing.
+    """
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,24 +234,26 @@ def linked(docs: DataFrame, *, words: int = WORDS, segments: int | None = None,
     one component; a null doc_id takes part, but names no component unless all its members are null. Other columns of
     the input are not looked at.
     """
-    if segments is None:
-        segments = min(65_536, max(8, 2 * docs.select("text").rdd.getNumPartitions()))
     rows = stored(sketched(docs, words))
+    if segments is None:
+        total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        segments = min(65_536, max(8, -(-total // SEGMENT_SHINGLES)))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
     kept = shared(fragmented(docs, segments, words), segments).groupBy("cls").agg(F.sum("k").alias("m"), F.collect_list(F.struct("frag", "hashes", "dfs")).alias("parts"))
     survivors = stored(kept.join(classes, "cls").where("5 * m >= 4 * n").select("cls", "n", "m", "parts"))
-    parts = survivors.select("cls", F.explode("parts").alias("p")).select("cls", "p.frag", "p.hashes").groupBy("cls", "frag").agg(F.array_sort(F.collect_list("hashes")).alias("h"))
-    parts = stored(parts.select("cls", "frag", F.aggregate("h", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x)).alias("hashes")))
-    entries = stored(prefixes(survivors))
-    links = None
-    roots = None
+    n_survivors = survivors.count()
+    parts = pieces(survivors.coalesce(tasks(50 * n_survivors)))
+    entries = stored(prefixes(survivors.coalesce(tasks(50 * n_survivors))))
+    n_entries = entries.count()
+    entries = entries.coalesce(tasks(n_entries))
+    links = roots = None
     for turn in range(star_rounds + 1):
-        known = entries.withColumn("root", F.col("cls")) if roots is None else entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        open_tokens = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct((F.col("lone") / F.col("n")).alias("r"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("root").alias("root"))).alias("lead")).where("lo != hi")
+        known = entries.withColumn("root", F.col("cls")) if roots is None else entries.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")).coalesce(tasks(n_entries))
+        open_tokens = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct((F.col("lone") / F.col("n")).alias("r"), F.col("cls").alias("cls"), F.col("n").alias("n"), F.col("root").alias("root"))).alias("lead")).where("lo != hi").coalesce(tasks(n_entries))
         if turn < star_rounds:
-            met = known.join(open_tokens.select("token", "lead"), "token").where("root != lead.root and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)")
+            met = known.join(open_tokens.select("token", "lead"), "token").where("root != lead.root and 5 * least(n, lead.n) >= 4 * greatest(n, lead.n)").coalesce(tasks(n_entries))
             votes = met.groupBy("cls", "n", F.col("lead.cls").alias("other"), F.col("lead.n").alias("no")).count()
-            best = votes.groupBy("cls", "n").agg(F.max(F.struct("count", "other", "no")).alias("x"))
+            best = votes.coalesce(tasks(n_entries)).groupBy("cls", "n").agg(F.max(F.struct("count", "other", "no")).alias("x"))
             pairs = best.select(F.col("cls").alias("a"), F.col("x.other").alias("b"), F.col("n").alias("na"), F.col("x.no").alias("nb"))
         else:
             side = known.join(open_tokens.select("token"), "token", "left_semi")
@@ -234,10 +262,17 @@ def linked(docs: DataFrame, *, words: int = WORDS, segments: int | None = None,
             near = (F.col("clsa") < F.col("clsb")) & (F.col("roota") != F.col("rootb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= 4 * (F.col("na") + F.col("nb")))
             met = a.join(b, "token").where(near)
             pairs = met.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").distinct()
-        found = similar(pairs, parts)
+        pairs = stored(pairs.coalesce(tasks(n_entries)))
+        n_pairs = pairs.count()
+        if not n_pairs:
+            continue
+        found = similar(pairs.coalesce(tasks(50 * n_pairs)), parts).coalesce(tasks(n_pairs))
         links = stored(found if links is None else found.unionByName(links))
-        roots = stored(components(links))
-    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        roots = components(links, links.count())
+    if roots is None:
+        named = classes.withColumn("root", F.col("cls"))
+    else:
+        named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_class = named.join(ids, "root").select(F.col("cls").alias("_cls"), "component_id")
     out = rows.join(by_class, F.col("cls") == F.col("_cls"), "left")

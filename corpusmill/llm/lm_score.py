@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, clean, written
+from .common import _LOWER, Shipped, Vocabulary, clean, written
 
 #: Level q stands for counts from BASE ** (q - 1) up to BASE ** q; K bits of one 64-bit word are set per entry, and BITS
 #: are provided for it.
@@ -30,34 +30,10 @@ MAX_BYTES = 96_000_000
 ALPHA = 0.1
 #: Tokens that a task holds before it hands counts on, and words that it knows by heart.
 FLUSH, KNOWN = 2_000_000, 300_000
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _PAIR, _PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA54FF53A5F1D36F1)
 
 
-class Vocabulary(dict):
-    """Numbers of words in the order in which they come, and their 64-bit hashes; number 0 is a text's end."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.hashes = [int(END)]
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.hashes)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        return number
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """Numbers of a text's lower-cased words, then of its end."""
-        words = clean(text).translate(_LOWER).split()
-        out = np.zeros(len(words) + 1, np.int32)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-        return out
-
-    def array(self) -> np.ndarray:
-        return np.array(self.hashes, np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
@@ -165,15 +141,15 @@ def gathered(docs: DataFrame, segments: int) -> DataFrame:
         yield batch_of([(s, True, k, c) for s, k, c in by_segment(pairs[first], np.diff(np.append(first, len(pairs))), segments)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Vocabulary(), [], 0
+        words, held, n = Vocabulary((int(END),)), [], 0
         for batch in batches:
             for text in batch.column("text"):
-                held.append(words.numbers(text.as_py()))
+                held.append(words.numbers(text.as_py(), 1))
                 n += len(held[-1])
                 if n >= FLUSH:
                     yield from emit(held, words.array())
                     held, n = [], 0
-                    words = Vocabulary() if len(words) > KNOWN else words
+                    words = Vocabulary((int(END),)) if len(words) > KNOWN else words
         if held:
             yield from emit(held, words.array())
 
@@ -290,7 +266,7 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
     names = schema.names
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, words = sent.value, Vocabulary()
+        model, words = sent.value, Vocabulary((int(END),))
         known = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
         counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
         order = np.argsort(known)
@@ -316,7 +292,7 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
 
         held, n = [], 0
         for text in left.column("text"):
-            held.append(words.numbers(text.as_py()))
+            held.append(words.numbers(text.as_py(), 1))
             n += len(held[-1])
             if n >= 1_000_000:
                 flush(held)
