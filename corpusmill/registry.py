@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence, items, study, tables
+from .plans import evidence, items, reports, study, tables
 
-MODULES = (items, tables, study, evidence)
+MODULES = (items, tables, study, evidence, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
