@@ -28,7 +28,7 @@ WORDS = 5
 FRAGMENTS, STAR_ROUNDS = 4, 2
 #: Shingles that a map task holds before it hands them on, and that a segment of the order holds on the average; words
 #: that a task knows by heart.
-FLUSH, SEGMENT_SHINGLES, KNOWN = 1_500_000, 2_500_000, 300_000
+FLUSH, SEGMENT_SHINGLES, KNOWN, CHUNK = 1_500_000, 2_500_000, 300_000, 300_000
 #: Bits of a shingle's hash that travel within a segment, and bytes of a class's name.
 BITS, NAME = 40, 12
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -43,22 +43,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingled(texts: Iterator[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's shingles; a shorter text's words make one; none without words."""
-    known, hashes = Vocabulary(), np.zeros(0, np.uint64)
-    for text in texts:
-        numbers = known.numbers(text)
-        if len(known.hashes) > len(hashes):
-            hashes = np.concatenate([hashes, np.array(known.hashes[len(hashes) :], np.uint64)])
+
+    def made(numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         if not len(numbers):
-            yield np.zeros(0, np.uint64)
-            continue
+            return np.zeros(0, np.uint64)
         h = hashes[numbers]
         width = min(words, len(h))
         total = np.full(len(h) - width + 1, width, np.uint64)
         for i in range(width):
             total = total * _K + h[i : len(h) - width + 1 + i]
-        yield np.unique(mixed(total))
-        if len(known) > KNOWN:
-            known, hashes = Vocabulary(), np.zeros(0, np.uint64)
+        return np.unique(mixed(total))
+
+    known, held, n = Vocabulary(), [], 0
+    for text in texts:
+        held.append(known.numbers(text))
+        n += len(held[-1])
+        if n >= CHUNK:  # the table of hashes is made once for many texts
+            hashes = known.array()
+            yield from (made(x, hashes) for x in held)
+            held, n = [], 0
+            known = Vocabulary() if len(known) > KNOWN else known
+    hashes = known.array()
+    yield from (made(x, hashes) for x in held)
 
 
 def class_of(found: np.ndarray) -> bytes | None:
@@ -89,7 +95,7 @@ def unpacked(blob: bytes) -> np.ndarray:
 
 
 def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
-    """Rows (seg, hashes, classes, runs): the shingles of each class in a segment of the order, many classes a row.
+    """Rows (seg, hashes, classes, sizes, runs): the shingles of each class in a segment of the order, many classes a row.
 
     A task hands on each class once; copies in other tasks are dropped where the segments meet.
     """
@@ -101,15 +107,15 @@ def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
         order = np.argsort(seg, kind="stable")
         everything, cls, seg = everything[order], cls[order], seg[order]
         cuts = np.searchsorted(seg, np.arange(segments + 1))
-        name = np.frombuffer(b"".join(names), f"V{NAME}")
-        rows: tuple[list, ...] = ([], [], [], [])
+        name, size = np.frombuffer(b"".join(names), f"V{NAME}"), np.array([len(x) for x in sets], np.int32)
+        rows: tuple[list, ...] = ([], [], [], [], [])
         for s in range(segments):
             a, b = cuts[s], cuts[s + 1]
             if a < b:
                 own, runs = np.unique(cls[a:b], return_counts=True)
-                for column, value in zip(rows, (s, packed(everything[a:b]), name[own].tobytes(), runs.astype(np.int32).tobytes()), strict=True):
+                for column, value in zip(rows, (s, packed(everything[a:b]), name[own].tobytes(), size[own].tobytes(), runs.astype(np.int32).tobytes()), strict=True):
                     column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["seg", "hashes", "classes", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=["seg", "hashes", "classes", "sizes", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -128,41 +134,81 @@ def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
         if sets:
             yield emit(sets, names)
 
-    return docs.select("text").mapInArrow(run, "seg int, hashes binary, classes binary, runs binary")
+    return docs.select("text").mapInArrow(run, "seg int, hashes binary, classes binary, sizes binary, runs binary")
 
 
-def shared(pieces: DataFrame, segments: int, fragments: int = FRAGMENTS) -> DataFrame:
-    """Rows (cls, frag, k, hashes, dfs): of each class and segment the shingles that other classes have too.
+def shared(held: DataFrame, segments: int) -> DataFrame:
+    """Rows (bucket, seg, classes, sizes, counts, hashes, dfs): each class's shingles that other classes have too.
 
-    dfs holds the number of classes of each, 255 at most: it only orders the shingles.
+    A row holds many classes, those of a bucket of names. dfs is the number of classes of each shingle, 255 at most: it
+    only orders the shingles.
     """
+    names_of = ["bucket", "seg", "classes", "sizes", "counts", "hashes", "dfs"]
 
     def run(table: pa.Table) -> pa.Table:
         seg = table.column("seg")[0].as_py()
-        frag = seg * fragments // segments
-        classes = np.frombuffer(b"".join(table.column("classes").to_pylist()), f"V{NAME}")
-        runs = np.frombuffer(b"".join(table.column("runs").to_pylist()), np.int32)
+        classes, sizes, runs = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("classes", f"V{NAME}"), ("sizes", np.int32), ("runs", np.int32)))
         hashes = np.concatenate([unpacked(x.as_py()) for x in table.column("hashes")])
         names, first = np.unique(classes, return_index=True)
         starts = np.concatenate([[0], np.cumsum(runs)[:-1]])[first]
-        sizes = runs[first]
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        h, cls = hashes[at] | np.uint64(seg << BITS), np.repeat(np.arange(len(names), dtype=np.int32), sizes)
+        runs, sizes = runs[first], sizes[first]
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+        h, cls = hashes[at], np.repeat(np.arange(len(names), dtype=np.int32), runs)
         order = np.argsort(h, kind="stable")
         h, cls = h[order], cls[order]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         df = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
         keep = df > 1
         h, cls, df = h[keep], cls[keep], np.minimum(df[keep], 255).astype(np.uint8)
-        order = np.argsort(cls, kind="stable")
+        bucket = bucket_of(names, segments)
+        order = np.lexsort((cls, bucket[cls]))
         h, cls, df = h[order], cls[order], df[order]
-        own, begin = np.unique(cls, return_index=True)
+        cuts = np.searchsorted(bucket[cls], np.arange(segments + 1))
+        rows = []
+        for k in range(segments):
+            a, b = cuts[k], cuts[k + 1]
+            if a < b:
+                own, counts = np.unique(cls[a:b], return_counts=True)
+                rows.append((k, seg, names[own].tobytes(), sizes[own].tobytes(), counts.astype(np.int32).tobytes(), packed(h[a:b]), df[a:b].tobytes()))
+        types = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names_of)
+
+    return held.groupBy("seg").applyInArrow(run, "bucket int, seg int, classes binary, sizes binary, counts binary, hashes binary, dfs binary")
+
+
+def bucket_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket for each class by its name's first bytes."""
+    words = np.frombuffer(names.tobytes(), np.uint32).reshape(-1, NAME // 4)
+    return (words[:, 0] % np.uint32(buckets)).astype(np.int64)
+
+
+def survivors_of(met: DataFrame, segments: int, fragments: int = FRAGMENTS) -> DataFrame:
+    """Rows (cls, n, m, parts): the classes with enough shared shingles (m of n) to link, with those by fragment."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seg", "classes", "sizes", "counts", "hashes", "dfs")), strict=True), key=lambda r: r[0])
+        classes, sizes, counts, dfs = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, f"V{NAME}"), (2, np.int32), (3, np.int32), (5, np.uint8)))
+        h = np.concatenate([unpacked(r[4]) | np.uint64(r[0] << BITS) for r in rows])
+        frag = np.concatenate([np.full(len(r[5]), r[0] * fragments // segments) for r in rows])
+        names, where = np.unique(classes, return_inverse=True)
+        m, n = np.bincount(where, counts).astype(np.int64), np.zeros(len(names), np.int64)
+        n[where] = sizes
+        able = 5 * m >= 4 * n
+        cls = np.repeat(where, counts)
+        keep = able[cls]
+        h, dfs, key = h[keep], dfs[keep], cls[keep] * fragments + frag[keep]
+        order = np.argsort(key, kind="stable")
+        h, dfs, key = h[order], dfs[order], key[order]
+        parts: dict[int, list[dict]] = {}
+        own, begin = np.unique(key, return_index=True)
         cuts = np.append(begin, len(h)).tolist()
-        spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-        columns = [pa.array([names[c].tobytes() for c in own], pa.binary()), pa.array([frag] * len(own), pa.int32()), pa.array([b - a for a, b in spans], pa.int32()), pa.array([h[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([df[a:b].tobytes() for a, b in spans], pa.binary())]
-        return pa.Table.from_arrays(columns, names=["cls", "frag", "k", "hashes", "dfs"])
+        for k, a, b in zip(own.tolist(), cuts[:-1], cuts[1:], strict=True):
+            parts.setdefault(k // fragments, []).append({"frag": k % fragments, "hashes": h[a:b].tobytes(), "dfs": dfs[a:b].tobytes()})
+        kind = pa.list_(pa.struct([("frag", pa.int32()), ("hashes", pa.binary()), ("dfs", pa.binary())]))
+        columns = [pa.array([names[c].tobytes() for c in parts], pa.binary()), pa.array([int(n[c]) for c in parts], pa.int64()), pa.array([int(m[c]) for c in parts], pa.int64()), pa.array(list(parts.values()), kind)]
+        return pa.Table.from_arrays(columns, names=["cls", "n", "m", "parts"])
 
-    return pieces.groupBy("seg").applyInArrow(run, "cls binary, frag int, k int, hashes binary, dfs binary")
+    return met.groupBy("bucket").applyInArrow(run, "cls binary, n long, m long, parts array<struct<frag:int,hashes:binary,dfs:binary>>")
 
 
 def pieces(survivors: DataFrame) -> DataFrame:
@@ -238,9 +284,8 @@ def linked(docs: DataFrame, *, words: int = WORDS, segments: int | None = None,
     if segments is None:
         total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
         segments = min(65_536, max(8, -(-total // SEGMENT_SHINGLES)))
-    classes = rows.where("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
-    kept = shared(fragmented(docs, segments, words), segments).groupBy("cls").agg(F.sum("k").alias("m"), F.collect_list(F.struct("frag", "hashes", "dfs")).alias("parts"))
-    survivors = stored(kept.join(classes, "cls").where("5 * m >= 4 * n").select("cls", "n", "m", "parts"))
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
+    survivors = stored(survivors_of(shared(fragmented(docs, segments, words), segments), segments))
     n_survivors = survivors.count()
     parts = pieces(survivors.coalesce(tasks(50 * n_survivors)))
     entries = stored(prefixes(survivors.coalesce(tasks(50 * n_survivors))))
