@@ -76,6 +76,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_lm_scoring, op2_secret_scan, op3_url_filter, op4_ngram_jaccard_join, op5_quality_classifier, op6_decontamination, op7_language_id, op8_source_mixing, op9_quality_rules, op10_pii)}
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Components by reachability over all links of exact shingle sets.
+OP4_SQL = rf"""with recursive w as (select doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') as t from documents),
+ s as (select doc_id, case when len(t) >= 5 then list_distinct([array_to_string(t[i:i+4], ' ') for i in range(1, len(t) - 3)]) when len(t) > 0 then [array_to_string(t, ' ')] else [] end as sh from w),
+ e as (select doc_id, len(sh) as n, unnest(sh) as x from s),
+ o as (select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb from e a join e b on a.x = b.x and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select a, b from o where 100 * k >= 80 * (na + nb - k)),
+ r(a, b) as (select doc_id, doc_id from s union select r.a, l.b from r join l on r.b = l.a)
+select s.doc_id, len(sh)::bigint as n_shingles, (select min(b) from r where r.a = s.doc_id) as component_id from s"""
+
+#: All windows of all items against all windows of the same lengths in all documents.
+OP6_SQL = rf"""with w as (select doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t from documents),
+ i as (select item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as t from benchmark),
+ j as (select item_id, t, least(10, len(t)) as n, unnest(range(1, len(t) - least(10, len(t)) + 2)) as p from i where len(t) > 0),
+ iw as (select distinct item_id, n, array_to_string(t[p:p+n-1], ' ') as x from j),
+ l as (select distinct n from iw),
+ d as (select doc_id, t, n, unnest(range(1, len(t) - n + 2)) as p from w cross join l where len(t) >= n),
+ h as (select distinct doc_id, p, d.n, item_id from d join iw on iw.n = d.n and iw.x = array_to_string(t[p:p+d.n-1], ' ')),
+ c as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from h) group by 1),
+ g as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from h group by 1)
+select doc_id, len(t)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from w left join c using (doc_id) left join g using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    """DuckDB SQL for the queries that SQL can express whole: joins and searches, not fitted models or hash orders."""
+    return {"op4_ngram_jaccard_join": OP4_SQL, "op6_decontamination": OP6_SQL}
