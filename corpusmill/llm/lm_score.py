@@ -2,11 +2,12 @@
 
 Counts of words and of word pairs are quantised on a log scale: a count of
 level q goes into the filter as q entries (key, 1) ... (key, q). A count is read back by probing level after level
-until one is missing. The filter is built in segments by hash, each by one reducer from all counts of its keys, and
-broadcast; pair probabilities are smoothed by a Dirichlet prior on the base model.
+until one is missing. The filter is built in segments by hash, each by one reducer from all counts of its keys; pair
+probabilities are smoothed by a Dirichlet prior on the base model.
 
-Exact word counts for the base score never travel as a whole: each block of documents asks the segments for the counts
-of the words it holds, and gets those.
+Neither the filter nor the exact word counts travel as a whole: each block of documents hands its words and pairs to
+the segments, and gets back the exact counts of the words and the filter's levels of both, in the order of the hashes.
+The filter so grows with the input, and all pairs are in it.
 """
 
 from __future__ import annotations
@@ -16,17 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Shipped, Vocabulary, clean, written
+from .common import Shipped, Vocabulary, written
 
 #: Level q stands for counts from BASE ** (q - 1) up to BASE ** q; K bits of one 64-bit word are set per entry, and BITS
 #: are provided for it.
 BASE, K, BITS = 1.5, 5, 9.0
-#: The filter's bound. Where all pairs don't fit, a segment keeps those from the smallest count on with which they do.
-MAX_BYTES = 96_000_000
 ALPHA = 0.1
 #: Tokens that a task holds before it hands counts on, and words that it knows by heart.
 FLUSH, KNOWN = 2_000_000, 300_000
@@ -121,141 +119,107 @@ def by_segment(keys: np.ndarray, counts: np.ndarray | None, segments: int) -> It
 
 
 def gathered(docs: DataFrame, segments: int) -> DataFrame:
-    """Rows (seg, pairs, keys, counts): the counts of words, or of word pairs, in some training texts.
+    """Rows (seg, block, pairs, keys, counts): words, or word pairs, of blocks, with their counts in training texts.
 
-    Counts are added up within a task before they travel, so that frequent words and pairs come once a task.
+    Counts are added up within a task before they travel, so that frequent words and pairs come once a task. Empty
+    counts stand for zeros: the keys are of other texts.
     """
 
-    def batch_of(rows: list[tuple[int, bool, bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["seg", "pairs", "keys", "counts"])
-
-    def emit(held: list[np.ndarray], hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        numbers = np.concatenate(held)
-        counts = np.bincount(numbers, minlength=len(hashes))
-        order = np.argsort(hashes)
-        order = order[counts[order] > 0]
-        yield batch_of([(s, False, k, c) for s, k, c in by_segment(hashes[order], counts[order], segments)])
-        t = hashes[numbers]
-        pairs = np.sort(pair_keys(befores(t, np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])), t))
-        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-        yield batch_of([(s, True, k, c) for s, k, c in by_segment(pairs[first], np.diff(np.append(first, len(pairs))), segments)])
+    def batch_of(block: int, pairs: bool, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        columns = ([r[0] for r in rows], [block] * len(rows), [pairs] * len(rows), [r[1] for r in rows], [r[2] for r in rows])
+        types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["seg", "block", "pairs", "keys", "counts"])
+
+    def emit(held: dict[tuple[int, bool], list[np.ndarray]], hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for (block, training), some in held.items():
+            numbers = np.concatenate(some)
+            counts = np.bincount(numbers, minlength=len(hashes))
+            order = np.argsort(hashes)
+            order = order[counts[order] > 0]
+            yield batch_of(block, False, list(by_segment(hashes[order], counts[order] if training else None, segments)))
+            t = hashes[numbers]
+            pairs = np.sort(pair_keys(befores(t, np.concatenate([[0], np.cumsum([len(x) for x in some])[:-1]])), t))
+            first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+            yield batch_of(block, True, list(by_segment(pairs[first], np.diff(np.append(first, len(pairs))) if training else None, segments)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Vocabulary((int(END),)), [], 0
+        words, held, n = Vocabulary((int(END),)), {}, 0
         for batch in batches:
-            for text in batch.column("text"):
-                held.append(words.numbers(text.as_py(), 1))
-                n += len(held[-1])
+            for text, block, training in zip(batch.column("text"), batch.column("block").to_pylist(), batch.column("training").to_pylist(), strict=True):
+                some = held.setdefault((block, training), [])
+                some.append(words.numbers(text.as_py(), 1))
+                n += len(some[-1])
                 if n >= FLUSH:
                     yield from emit(held, words.array())
-                    held, n = [], 0
+                    held, n = {}, 0
                     words = Vocabulary((int(END),)) if len(words) > KNOWN else words
         if held:
             yield from emit(held, words.array())
 
-    return docs.select("text").mapInArrow(run, "seg int, pairs boolean, keys binary, counts binary")
+    return docs.select("text", "block", "training").mapInArrow(run, "seg int, block long, pairs boolean, keys binary, counts binary")
 
 
 def added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and their total counts."""
-    k, c = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(counts), np.uint32).astype(np.int64)
+    k = np.frombuffer(b"".join(keys), np.uint64)
+    c = np.frombuffer(b"".join(c or bytes(len(k) // 2) for k, c in zip(keys, counts, strict=True)), np.uint32).astype(np.int64)
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return k[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def learned(counts: DataFrame, segments: int, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Rows (seg, words, counts, tokens, types, least, bits): exact word counts and the filter's segment.
+def segment_filter(words: np.ndarray, n: np.ndarray, twos: np.ndarray, m: np.ndarray) -> LogFilter:
+    """A segment of the filter, with all words and pairs that training texts hold."""
+    q, r = levels(n[n > 0]), levels(m[m > 0])
+    size = int((q.sum() + r.sum()) * BITS / 64) + 1
+    return LogFilter(filled(np.concatenate([words[n > 0], twos[m > 0]]), np.concatenate([q, r]), size), np.array([0, size]))
+
 
-    All words enter the filter; of the pairs those from a smallest count on with which the segment keeps to its share
-    of max_bytes. That count is 1 unless the bound asks for more.
+def answered(counts: DataFrame) -> DataFrame:
+    """Rows (seg, block, pairs, levels, counts, tokens, types): what the filter and the exact counts say to each block.
+
+    Levels and counts (of words only) are those of the block's distinct keys in a segment, in the keys' order. A row
+    without a block has the segment's totals.
     """
-    room = max(1, max_bytes // segments // 8)
+    names, types = ("seg", "block", "pairs", "levels", "counts", "tokens", "types"), (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
     def run(table: pa.Table) -> pa.Table:
-        pairs = np.array(table.column("pairs").to_pylist())
+        seg = table.column("seg")[0].as_py()
         keys, parts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-        (words, n), (twos, m) = (added([keys[i] for i in np.flatnonzero(pairs == p)], [parts[i] for i in np.flatnonzero(pairs == p)]) for p in (False, True))
-        q, r = levels(n), levels(m)
-        least, need = 1, lambda least: int((q.sum() + r[m >= least].sum()) * BITS / 64) + 1
-        while need(least) > room and least < m.max(initial=1):
-            least += 1
-        keep = m >= least
-        bits = filled(np.concatenate([words, twos[keep]]), np.concatenate([q, r[keep]]), min(need(least), room))
-        row = (table.column("seg")[0].as_py(), words.tobytes(), n.astype(np.int64).tobytes(), int(n.sum()), len(words), least, bits.tobytes())
-        types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["seg", "words", "counts", "tokens", "types", "least", "bits"])
-
-    return counts.groupBy("seg").applyInArrow(run, "seg int, words binary, counts binary, tokens long, types long, least int, bits binary")
-
-
-def asked(docs: DataFrame, segments: int) -> DataFrame:
-    """Rows (seg, block, keys): the distinct words of each block of documents, by segment."""
-
-    def emit(held: dict[int, set[bytes]]) -> Iterator[pa.RecordBatch]:
-        for block, words in held.items():
-            keys = np.sort(np.array([int(END), *map(xxhash.xxh3_64_intdigest, words)], np.uint64))
-            rows = list(by_segment(keys, None, segments))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["seg", "block", "keys"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, set[bytes]] = {}
-        for batch in batches:
-            for text, block in zip(batch.column("text"), batch.column("block").to_pylist(), strict=True):
-                held.setdefault(block, set()).update(clean(text.as_py()).translate(_LOWER).split())
-                if len(held[block]) >= 2 * KNOWN:
-                    yield from emit(held)
-                    held = {}
-        if held:
-            yield from emit(held)
-
-    return docs.select("text", "block").mapInArrow(run, "seg int, block long, keys binary")
-
-
-def answered(requests: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows (block, keys, counts): the exact counts of the words that a block asked for; those without are left out."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = [np.frombuffer(w, np.uint64) for w in right.column("words").to_pylist()]
-        counts = [np.frombuffer(c, np.int64) for c in right.column("counts").to_pylist()]
-        known, n = (words[0], counts[0]) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        blocks, keys, out = [], [], []
-        for block, want in zip(left.column("block").to_pylist(), left.column("keys").to_pylist(), strict=True):
-            want = np.frombuffer(want, np.uint64)
-            at = np.searchsorted(known, want)
-            ok = at < len(known)
-            ok[ok] = known[at[ok]] == want[ok]
-            blocks.append(block)
-            keys.append(want[ok].tobytes())
-            out.append(n[at[ok]].tobytes())
-        return pa.Table.from_arrays([pa.array(blocks, pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["block", "keys", "counts"])
-
-    return requests.groupBy("seg").cogroup(model.select("seg", "words", "counts").groupBy("seg")).applyInArrow(run, "block long, keys binary, counts binary")
+        places: dict[bool, dict[int, list[int]]] = {False: {}, True: {}}
+        for i, (p, block) in enumerate(zip(table.column("pairs").to_pylist(), table.column("block").to_pylist(), strict=True)):
+            places[p].setdefault(block, []).append(i)
+        known = {p: added([keys[i] for at in of.values() for i in at], [parts[i] for at in of.values() for i in at]) for p, of in places.items()}
+        bits = segment_filter(*known[False], *known[True])
+        n = known[False][1]
+        rows = [(seg, None, None, None, None, int(n.sum()), int((n > 0).sum()))]
+        for p, of in places.items():
+            level = bits.levels(known[p][0]).astype(np.uint8)
+            for block, where in of.items():
+                at = np.searchsorted(known[p][0], np.unique(np.frombuffer(b"".join(keys[i] for i in where), np.uint64)))
+                rows.append((seg, block, p, level[at].tobytes(), None if p else n[at].tobytes(), None, None))
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+    return counts.groupBy("seg").applyInArrow(run, "seg int, block long, pairs boolean, levels binary, counts binary, tokens long, types long")
 
 
 class Scorer:
-    """The filter with the totals that smoothing needs; pull is how many counts the base model weighs in a context."""
+    """The totals that smoothing needs; pull is how many counts the base model weighs in a context."""
 
-    def __init__(self, bits: LogFilter, n_tokens: int, n_types: int, n_docs: int, pull: float) -> None:
-        self.bits, self.n_tokens, self.n_types, self.n_docs, self.pull = bits, n_tokens, n_types, n_docs, pull
+    def __init__(self, n_tokens: int, n_types: int, n_docs: int, pull: float) -> None:
+        self.n_tokens, self.n_types, self.n_docs, self.pull = n_tokens, n_types, n_docs, pull
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the base probabilities, from counts."""
         return np.log10((counts + ALPHA) / (self.n_tokens + ALPHA * (self.n_types + 1)))
 
-    def single(self, keys: np.ndarray) -> np.ndarray:
-        """The filter's counts of words."""
-        return midpoints(self.bits.levels(keys))
-
-    def log10(self, before: np.ndarray, t: np.ndarray, context: np.ndarray, single: np.ndarray) -> np.ndarray:
-        """log10 probabilities of tokens after those before them, of which the filter's counts are given.
+    def log10(self, both: np.ndarray, context: np.ndarray, single: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens after those before them, from the filter's counts of pairs and of words.
 
-        Equal pairs are probed once. A pair is no more frequent than its words.
+        A pair is no more frequent than its words.
         """
-        keys = pair_keys(before, t)
-        some, where = np.unique(keys, return_inverse=True)
-        both = np.minimum(midpoints(self.bits.levels(some))[where], np.minimum(context, single))
+        both = np.minimum(both, np.minimum(context, single))
         return np.log10((both + self.pull * 10.0 ** self.base(single)) / (context + self.pull))
 
 
@@ -267,44 +231,53 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model, words = sent.value, Vocabulary((int(END),))
-        known = np.frombuffer(b"".join(right.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), np.int64)
-        order = np.argsort(known)
-        known, counts = known[order], counts[order]
-        out: tuple[list, ...] = ([], [], [], [])
-        hashes, exact, single = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-
-        def flush(held: list[np.ndarray]) -> None:
-            nonlocal hashes, exact, single
-            fresh = np.array(words.hashes[len(hashes) :], np.uint64)
-            at = np.minimum(np.searchsorted(known, fresh), max(0, len(known) - 1))
-            found = np.where(known[at] == fresh, counts[at], 0) if len(known) else np.zeros(len(fresh), np.int64)
-            hashes, exact, single = np.concatenate([hashes, fresh]), np.concatenate([exact, found]), np.concatenate([single, model.single(fresh)])
-            sizes = np.array([len(t) for t in held])
-            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            numbers = np.concatenate(held)
-            t, c, q = hashes[numbers], exact[numbers], single[numbers]
-            context = np.empty_like(q)
-            context[1:] = q[:-1]
-            context[first] = model.n_docs
-            for column, value in zip(out, (sizes, np.add.reduceat(c > 0, first, dtype=np.int64), np.add.reduceat(model.base(exact)[numbers], first), np.add.reduceat(model.log10(befores(t, first), t, context, q), first)), strict=True):
-                column.extend(value.tolist())
+        right = right.sort_by("seg")  # segments are ranges of hashes
+        pairs = right.column("pairs").to_pylist()
+
+        def joined(column: str, kind: type, p: bool, keys: np.ndarray) -> np.ndarray:
+            got = np.frombuffer(b"".join(x for x, q in zip(right.column(column).to_pylist(), pairs, strict=True) if q == p), kind)
+            if len(got) != len(keys):
+                raise ValueError(f"a block has {len(keys)} keys and {len(got)} answers: the input's rows changed between two reads")
+            return got
+
+        parts: list[tuple[np.ndarray, ...]] = []
+
+        def part(held: list[np.ndarray]) -> None:
+            """Takes up texts: numbers of tokens, sizes, distinct pairs and each token's place among them."""
+            sizes, numbers, hashes = np.array([len(t) for t in held]), np.concatenate(held), words.array()
+            some, where = np.unique(pair_keys(befores(hashes[numbers], np.cumsum(sizes) - sizes), hashes[numbers]), return_inverse=True)
+            parts.append((numbers, sizes, some, where.astype(np.int32)))
 
         held, n = [], 0
         for text in left.column("text"):
             held.append(words.numbers(text.as_py(), 1))
             n += len(held[-1])
             if n >= 1_000_000:
-                flush(held)
+                part(held)
                 held, n = [], 0
         if held:
-            flush(held)
+            part(held)
+        out: tuple[list, ...] = ([], [], [], [])
+        if parts:
+            keys, place = np.unique(words.array(), return_inverse=True)
+            exact, single = joined("counts", np.int64, False, keys)[place], midpoints(joined("levels", np.uint8, False, keys).astype(np.int64))[place]
+            keys = np.unique(np.concatenate([p[2] for p in parts]))
+            level = joined("levels", np.uint8, True, keys)
+        for numbers, sizes, some, where in parts:
+            first = np.cumsum(sizes) - sizes
+            both = midpoints(level[np.searchsorted(keys, some)].astype(np.int64))[where]
+            q = single[numbers]
+            context = np.empty_like(q)
+            context[1:] = q[:-1]
+            context[first] = model.n_docs
+            for column, value in zip(out, (sizes, np.add.reduceat(exact[numbers] > 0, first, dtype=np.int64), np.add.reduceat(model.base(exact)[numbers], first), np.add.reduceat(model.log10(both, context, q), first)), strict=True):
+                column.extend(value.tolist())
         return pa.Table.from_arrays([left.column("doc_id").combine_chunks(), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True))], names=names)
 
     return docs.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def score(docs: DataFrame, training: Column | None = None, *, segments: int | None = None, max_bytes: int = MAX_BYTES, pull: float = 1000.0) -> DataFrame:
+def score(docs: DataFrame, training: Column | None = None, *, segments: int | None = None, pull: float = 1000.0) -> DataFrame:
     """Rows doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     The model learns from the rows where `training` holds (null: all). Null and empty texts are an end alone. Without
@@ -319,16 +292,11 @@ def score(docs: DataFrame, training: Column | None = None, *, segments: int | No
     if segments is None:
         segments = min(65_536, max(8, 2 * parts))
     fold = max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // 16_000_000)
-    learn = docs if training is None else docs.where(training)
-    model = written(learned(gathered(learn, segments), segments, max_bytes), "lm-model")
-    n_docs = learn.select("doc_id").count()
-    rows = {r.seg: r for r in model.select("seg", "tokens", "types", "bits").collect()}
-    sizes = [len(rows[s].bits) // 8 if s in rows else 0 for s in range(segments)]
-    bits = np.frombuffer(b"".join(bytes(rows[s].bits) for s in sorted(rows)), np.uint64)
-    n_tokens = sum(r.tokens for r in rows.values())
-    scorer = Scorer(LogFilter(bits, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), n_tokens, sum(r.types for r in rows.values()), n_docs, pull)
-    del rows
+    learn = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
     block = F.spark_partition_id().cast("long") * fold + F.pmod(F.xxhash64("doc_id", "text"), F.lit(fold))
-    blocks = docs.select("doc_id", "text").withColumn("block", block)
-    out = scored(blocks, answered(asked(blocks, segments), model), scorer)
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks = docs.select("doc_id", "text", block.alias("block"), learn.alias("training"))
+    model = written(answered(gathered(blocks, segments)), "lm-model")
+    n_docs = docs.where(learn).select("doc_id").count()
+    totals = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
+    out = scored(blocks, model.where("block is not null").select("seg", "block", "pairs", "levels", "counts"), Scorer(totals.tokens, totals.types, n_docs, pull))
+    return out.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

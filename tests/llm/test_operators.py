@@ -84,6 +84,24 @@ def test_scores(spark, rows, docs, empty, tmp_path):
     assert lm_score.score(docs.limit(5), F.lit(False), segments=8).where("n_known = 0").count() == 5
 
 
+def test_filter_is_not_broadcast(spark, monkeypatch, tmp_path):
+    """What is sent to every worker stays the same, however many pairs there are, and single pairs count."""
+    sent = []
+
+    class Weighed(lm_score.Shipped):
+        def __init__(self, session, value):
+            super().__init__(session, value)
+            sent.append(len(self._sent.value))
+
+    monkeypatch.setattr(lm_score, "Shipped", Weighed)
+    for n in (5, 3000):
+        rows = [(i, f"w{i} v{i} u{i} w{i + 1}") for i in range(n)] + [(n, "w0 v0"), (n + 1, "v0 w0")]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / str(n)))
+        got = {r.doc_id: r.score for r in lm_score.score(spark.read.parquet(str(tmp_path / str(n))), F.col("doc_id") < n, segments=8).collect()}
+        assert len(got) == n + 2 and got[n] > got[n + 1]
+    assert max(sent) - min(sent) < 1000
+
+
 def test_filter_levels_are_never_too_low():
     import numpy as np
 
