@@ -91,12 +91,8 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(a)
 
 
-def near_pairs(docs: DataFrame, *, key: str, text: str, threshold: float = 0.8, verify: str = "exact") -> DataFrame:
-    """Pairs (a, b, similarity) of near duplicates, a before b, that meet in a band and reach the threshold.
-
-    Texts with equal shingle sets are compared through one of them, so that a large group of copies meets once; each of
-    the others is paired with that one alone.
-    """
+def near_and_copies(docs: DataFrame, key: str, text: str, threshold: float, verify: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, similarity) among the first texts of each shingle set, and those of each with its copies."""
     signed = stored(signatures(docs, key, text).where("sig is not null").withColumn("set_key", F.xxhash64("shingles")))
     leads = signed.groupBy("set_key").agg(F.min(key).alias("lead"))
     copies = signed.join(leads, "set_key").where(F.col(key) != F.col("lead")).select(F.col("lead").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("similarity"))
@@ -110,9 +106,31 @@ def near_pairs(docs: DataFrame, *, key: str, text: str, threshold: float = 0.8,
     exact = shared / (F.size("sh_a") + F.size("sh_b") - shared)
     similarity = exact if verify == "exact" else estimated_jaccard(F.col("sig_a"), F.col("sig_b"))
     found = both.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return found, copies
+
+
+def near_pairs(docs: DataFrame, *, key: str, text: str, threshold: float = 0.8, verify: str = "exact") -> DataFrame:
+    """Pairs (a, b, similarity) of near duplicates, a before b, that meet in a band and reach the threshold.
+
+    Texts with equal shingle sets are compared through one of them, so that a large group of copies meets once; each of
+    the others is paired with that one alone.
+    """
+    found, copies = near_and_copies(docs, key, text, threshold, verify)
     return found.unionByName(copies)
 
 
+def near_keep(docs: DataFrame, *, key: str, text: str, threshold: float = 0.8, verify: str = "exact") -> DataFrame:
+    """Rows (key, kept): whether no earlier document that stays is near.
+
+    Only the first text of each shingle set is decided by pairs. Its copies all go: either it stays, or what drops it
+    is as near to them and comes before them.
+    """
+    found, copies = near_and_copies(docs, key, text, threshold, verify)
+    copies = stored(copies.select(F.col("b").alias(key)).distinct())
+    firsts = docs.select(key).distinct().join(copies, key, "left_anti")
+    return greedy_keep(firsts, found, key).unionByName(copies.withColumn("kept", F.lit(False)))
+
+
 def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 200) -> DataFrame:
     """Rows (key, kept): the first-come independent set of the pairs (a before b).
 

@@ -76,8 +76,7 @@ NEAR = f"""with w as (select doc_id, regexp_extract_all(lower(text), '{EDGE}+')
 
 
 def near_dup_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = frame(spark, sf_dir, "documents")
-    return D.greedy_keep(docs, D.near_pairs(docs, key="doc_id", text="text", threshold=0.8), "doc_id")
+    return D.near_keep(frame(spark, sf_dir, "documents"), key="doc_id", text="text", threshold=0.8)
 
 
 def term_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,30 @@ def test_greedy_keep(spark):
     assert {r.k: r.kept for r in D.greedy_keep(nodes, pairs, "k").collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
+def test_near_keep_drops_copies_of_a_dropped_text(spark, tmp_path):
+    import re
+
+    from corpusmill.plans.items import near_dup_keep
+
+    base = [f"w{i}" for i in range(60)]
+    edited = [*base[:57], "x", "y", "z"]
+    texts = [base, edited, edited, [*edited[:52], "p", "q", *edited[54:]], base, edited, ["short"], ["short"], [f"v{i}" for i in range(40)], None]
+    rows = [(i, " ".join(t) if t else None) for i, t in enumerate(texts)]
+    shingles = {}
+    for i, text in rows:
+        w = re.findall(r"\w+", (text or "").lower())
+        if len(w) >= D.MIN_TOKENS:
+            shingles[i] = {" ".join(w[k : k + D.SHINGLE]) for k in range(len(w) - D.SHINGLE + 1)}
+    kept: list[int] = []
+    for i, _ in rows:
+        if i not in shingles or not any(j in shingles and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) for j in kept):
+            kept.append(i)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = near_dup_keep(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.kept) for r in got) == [(i, i in kept) for i, _ in rows]
+    assert not {1, 2, 4, 5} & set(kept)
+
+
 def test_near_pairs_of_edited_text(spark):
     base = [f"w{i}" for i in range(60)]
     rows = [(1, " ".join(base)), (2, " ".join([*base[:59], "other"])), (3, "short text"), (4, " ".join(base)), (5, None)]
