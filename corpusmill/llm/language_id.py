@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import Shipped, extend
 
-#: The bounded training sample: documents a language, characters of each, characters a language.
+#: The bounded training sample: different texts a language, characters of each, characters a language.
 SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 48, 2_000, 32_000
 LETTERS = 62
 #: Texts are parsed in segments; a phrase ends at a segment's end, alike for all languages.
@@ -140,14 +140,17 @@ class Model:
 
 
 def train(labelled: DataFrame) -> Model:
-    """Learns from columns text and lang: of each language the SAMPLE_DOCS rows that come first by hash.
+    """Learns from columns text and lang: of each language the SAMPLE_DOCS different texts that come first by hash.
 
-    Row numbers up to a limit are cut within the map tasks, so that a language with most of the rows isn't one task's.
+    Copies are put together within the map tasks, by hash, so that a large group of them counts once. Row numbers up to
+    a limit are cut within the tasks too, so that a language with most of the rows isn't one task's.
     """
-    some = labelled.where("text is not null and lang is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
-    first = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("n") <= SAMPLE_DOCS)
+    some = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    hashes = some.select("lang", "h").distinct()
+    first = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
+    sample = some.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "n", "text").collect()):
+    for r in sorted(sample.collect()):
         texts.setdefault(r.lang, []).append(r.text)
     return Model({k: "\n".join(v)[:TRAIN_CHARS] for k, v in texts.items()})
 

@@ -272,6 +272,17 @@ def test_cross_parsing_against_brute_force():
             assert model.parse([codes])[row, 0] == phrases, (text, name)
 
 
+def test_language_is_learned_from_different_texts(spark, monkeypatch):
+    """Groups of copies larger than the sample, one of which comes first by hash, take one place each."""
+    learned = {}
+    monkeypatch.setattr(language_id, "Model", lambda texts: learned.update(texts))
+    rows = [("en", f"text {i}") for i in range(60) for _ in range(1 if i % 3 else 50)] + [("fr", "un seul texte")] * 100
+    language_id.train(spark.createDataFrame(rows, "lang string, text string"))
+    lines = learned["en"].split("\n")
+    assert len(lines) == len(set(lines)) == language_id.SAMPLE_DOCS
+    assert learned["fr"] == "un seul texte"
+
+
 def test_language_id(spark, docs, empty):
     model = language_id.Model({"en": "the cat sat on the mat " * 20, "fr": "le chat dort sur la table " * 20})
     frame = spark.createDataFrame([(1, "the mat"), (2, "la table dort"), (3, None), (4, "123 !"), (5, "le chat " * 3000)], "doc_id int, text string")
