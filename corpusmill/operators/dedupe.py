@@ -131,21 +131,24 @@ def near_keep(docs: DataFrame, *, key: str, text: str, threshold: float = 0.8, v
     return greedy_keep(firsts, found, key).unionByName(copies.withColumn("kept", F.lit(False)))
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 200) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int | None = None) -> DataFrame:
     """Rows (key, kept): the first-come independent set of the pairs (a before b).
 
     A row goes if an earlier row that stays is near it; rows that go pull nobody along. Each round keeps the undecided
     rows without an undecided or kept earlier neighbour and drops those with a kept one; the state is checkpointed.
+    Rounds go on until every row is decided; it is an error if more than `rounds` are needed, or if pairs form a cycle.
     """
     state = stored(nodes.select(F.col(key).alias("node")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     edges = stored(pairs.select(F.col("a"), F.col("b")))
-    for _ in range(rounds):
+    done, last = 0, None
+    while n_open := state.where("kept is null").count():
+        if n_open == last or done == rounds:
+            raise RuntimeError(f"{n_open} rows are undecided after {done} rounds")
         earlier = edges.join(state.select(F.col("node").alias("a"), F.col("kept").alias("kept_a")), "a").groupBy("b").agg(F.max(F.coalesce("kept_a", F.lit(False))).alias("near_kept"), F.max(F.col("kept_a").isNull()).alias("near_open"))
         joined = state.join(earlier, state.node == earlier.b, "left")
         new = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("near_kept", F.lit(False)), False).when(~F.coalesce("near_open", F.lit(False)), True)
         state = stored(joined.select("node", new.alias("kept")))
-        if state.where("kept is null").isEmpty():
-            break
+        done, last = done + 1, n_open
     return state.withColumnRenamed("node", key)
 
 

@@ -127,6 +127,14 @@ def test_greedy_keep(spark):
     assert {r.k: r.kept for r in D.greedy_keep(nodes, pairs, "k").collect()} == {1: True, 2: False, 3: True, 4: False, 5: True}
 
 
+def test_greedy_keep_leaves_nothing_undecided(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(8)], "k long")
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
+    assert {r.k: r.kept for r in D.greedy_keep(nodes, pairs, "k").collect()} == {i: i % 2 == 0 for i in range(8)}
+    with pytest.raises(RuntimeError, match="undecided"):
+        D.greedy_keep(nodes, pairs, "k", rounds=2)
+
+
 def test_near_keep_drops_copies_of_a_dropped_text(spark, tmp_path):
     import re
 
