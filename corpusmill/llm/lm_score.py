@@ -7,7 +7,8 @@ probabilities are smoothed by a Dirichlet prior on the base model.
 
 Neither the filter nor the exact word counts travel as a whole: each block of documents hands its words and pairs to
 the segments, and gets back the exact counts of the words and the filter's levels of both, in the order of the hashes.
-The filter so grows with the input, and all pairs are in it.
+The filter so grows with the input, and all pairs are in it. It is never broadcast, as nothing bounds its size: blocks
+and segments have a fixed number of bytes of text on the average, and there are as many of both as the input asks for.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ BASE, K, BITS = 1.5, 5, 9.0
 ALPHA = 0.1
 #: Tokens that a task holds before it hands counts on, and words that it knows by heart.
 FLUSH, KNOWN = 2_000_000, 300_000
+#: Bytes of text of a block of documents and of a segment of the filter, on the average.
+BLOCK_BYTES, SEGMENT_BYTES = 8_000_000, 8_000_000
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 _PAIR, _PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA54FF53A5F1D36F1)
 
@@ -53,7 +57,7 @@ def befores(t: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     """Segments are ranges of hashes, so that sorted hashes fall into them in order."""
-    return (h >> np.uint64(44)).astype(np.int64) * segments >> 20
+    return ((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -68,10 +72,13 @@ def midpoints(level: np.ndarray) -> np.ndarray:
 
 
 class LogFilter:
-    """A Bloom filter of 64-bit words in segments of their own sizes; cuts are the segments' first words."""
+    """A Bloom filter of 64-bit words in segments of their own sizes; cuts are the segments' first words.
 
-    def __init__(self, words: np.ndarray, cuts: np.ndarray) -> None:
-        self.words, self.cuts = words, cuts
+    No key has a level above `top`, so probing ends there even if all bits are set.
+    """
+
+    def __init__(self, words: np.ndarray, cuts: np.ndarray, top: int) -> None:
+        self.words, self.cuts, self.top = words, cuts, top
 
     @staticmethod
     def place(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,12 +95,13 @@ class LogFilter:
         out = np.zeros(len(keys), np.int64)
         seg = segment_of(keys, len(self.cuts) - 1)
         first, size = self.cuts[seg], self.cuts[seg + 1] - self.cuts[seg]
-        alive, level = np.flatnonzero(size > 0), 1
-        while len(alive):
+        alive = np.flatnonzero(size > 0)
+        for level in range(1, self.top + 1):
+            if not len(alive):
+                break
             at, mask = self.place(keys[alive], level, size[alive])
             alive = alive[(self.words[first[alive] + at] & mask) == mask]
             out[alive] = level
-            level += 1
         return out
 
 
@@ -143,16 +151,16 @@ def gathered(docs: DataFrame, segments: int) -> DataFrame:
             yield batch_of(block, True, list(by_segment(pairs[first], np.diff(np.append(first, len(pairs))) if training else None, segments)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, n = Vocabulary((int(END),)), {}, 0
+        words, held, n, last = Vocabulary((int(END),)), {}, 0, None
         for batch in batches:
             for text, block, training in zip(batch.column("text"), batch.column("block").to_pylist(), batch.column("training").to_pylist(), strict=True):
-                some = held.setdefault((block, training), [])
-                some.append(words.numbers(text.as_py(), 1))
-                n += len(some[-1])
-                if n >= FLUSH:
+                if n >= FLUSH or (block != last and held):  # a block's rows mostly come together
                     yield from emit(held, words.array())
                     held, n = {}, 0
                     words = Vocabulary((int(END),)) if len(words) > KNOWN else words
+                some, last = held.setdefault((block, training), []), block
+                some.append(words.numbers(text.as_py(), 1))
+                n += len(some[-1])
         if held:
             yield from emit(held, words.array())
 
@@ -173,7 +181,8 @@ def segment_filter(words: np.ndarray, n: np.ndarray, twos: np.ndarray, m: np.nda
     """A segment of the filter, with all words and pairs that training texts hold."""
     q, r = levels(n[n > 0]), levels(m[m > 0])
     size = int((q.sum() + r.sum()) * BITS / 64) + 1
-    return LogFilter(filled(np.concatenate([words[n > 0], twos[m > 0]]), np.concatenate([q, r]), size), np.array([0, size]))
+    both = np.concatenate([q, r])
+    return LogFilter(filled(np.concatenate([words[n > 0], twos[m > 0]]), both, size), np.array([0, size]), int(both.max(initial=0)))
 
 
 def answered(counts: DataFrame) -> DataFrame:
@@ -277,26 +286,35 @@ def scored(docs: DataFrame, answers: DataFrame, scorer: Scorer) -> DataFrame:
     return docs.select("doc_id", "text", "block").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def placed(docs: DataFrame, learn: Column) -> DataFrame:
+    """Rows (doc_id, text, training, file, row): each row's place in a Parquet file, the same however a scan is split."""
+    columns = ("doc_id", "text", learn.alias("training"))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    try:
+        if "_metadata" not in map(str.lower, docs.columns):
+            return docs.select(*columns, *place)
+    except AnalysisException:  # not rows of Parquet files
+        pass
+    return written(docs.select(*columns), "lm").select("doc_id", "text", "training", *place)
+
+
 def score(docs: DataFrame, training: Column | None = None, *, segments: int | None = None, pull: float = 1000.0) -> DataFrame:
     """Rows doc_id, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     The model learns from the rows where `training` holds (null: all). Null and empty texts are an end alone. Without
     training rows every count is 0 and both scores come from smoothing. Repeated rows are scored alike. Other columns
-    of the input are not looked at. Blocks are the partitions of the scan, so an input that isn't a plain scan is
-    written first.
+    of the input are not looked at. Blocks are runs of rows of a file, which don't hang on how a scan is split; an input
+    whose rows have no place in a file is written first. A text of any length is in one block.
     """
-    spark = docs.sparkSession
-    if not docs.inputFiles() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
-        docs = written(docs, "lm")
-    parts = docs.select("doc_id", "text").rdd.getNumPartitions()
-    if segments is None:
-        segments = min(65_536, max(8, 2 * parts))
-    fold = max(1, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() // 16_000_000)
     learn = F.lit(True) if training is None else F.coalesce(training, F.lit(False))
-    block = F.spark_partition_id().cast("long") * fold + F.pmod(F.xxhash64("doc_id", "text"), F.lit(fold))
-    blocks = docs.select("doc_id", "text", block.alias("block"), learn.alias("training"))
+    rows = placed(docs, learn)
+    sums = rows.agg(F.count("*").alias("n"), F.count_if("training").alias("learned"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if segments is None:
+        segments = max(8, -(-sums.bytes // SEGMENT_BYTES))
+    rows_a_block = max(1, sums.n * BLOCK_BYTES // max(1, sums.bytes))
+    block = F.xxhash64("file", F.floor(F.col("row") / rows_a_block))
+    blocks = rows.select("doc_id", "text", block.alias("block"), "training")
     model = written(answered(gathered(blocks, segments)), "lm-model")
-    n_docs = docs.where(learn).select("doc_id").count()
     totals = model.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("types"), F.lit(0)).alias("types")).first()
-    out = scored(blocks, model.where("block is not null").select("seg", "block", "pairs", "levels", "counts"), Scorer(totals.tokens, totals.types, n_docs, pull))
+    out = scored(blocks, model.where("block is not null").select("seg", "block", "pairs", "levels", "counts"), Scorer(totals.tokens, totals.types, sums.learned, pull))
     return out.select("doc_id", "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")

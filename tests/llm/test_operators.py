@@ -109,10 +109,51 @@ def test_filter_levels_are_never_too_low():
     keys = rnd.integers(0, 1 << 63, 5000, dtype=np.uint64)
     level = lm_score.levels(rnd.integers(1, 2000, 5000))
     size = int(level.sum() * lm_score.BITS / 64) + 1
-    made = lm_score.LogFilter(lm_score.filled(keys, level, size), np.array([0, size]))
+    made = lm_score.LogFilter(lm_score.filled(keys, level, size), np.array([0, size]), int(level.max()))
     got = made.levels(keys)
     assert (got >= level).all() and (got == level).mean() > 0.93
     assert (made.levels(rnd.integers(0, 1 << 63, 5000, dtype=np.uint64)) == 0).mean() > 0.93
+    full = lm_score.LogFilter(np.full(3, ~np.uint64(0)), np.array([0, 3]), 7)
+    assert (full.levels(keys) == 7).all()
+
+
+def model_of(texts):
+    """The smoothed probability of a text by plain dictionaries of quantised counts: what a filter without errors says."""
+    import numpy as np
+
+    tokens = lambda t: [*WORD.findall(low(t)), "\n"]
+    ones, twos = Counter(), Counter()
+    for t in texts:
+        ones.update(tokens(t))
+        twos.update(zip([None, *tokens(t)], tokens(t)))
+    n, v = sum(ones.values()), len(ones)
+    mid = lambda c: float(lm_score.midpoints(lm_score.levels(np.array([c])))[0]) if c else 0.0
+
+    def score(text, pull=1000.0):
+        total, before = 0.0, None
+        for w in tokens(text):
+            single, context = mid(ones[w]), mid(ones[before]) if before else float(len(texts))
+            both = min(mid(twos[before, w]), context, single)
+            total += math.log10((both + pull * (single + 0.1) / (n + 0.1 * (v + 1))) / (context + pull))
+            before = w
+        return total
+
+    return score
+
+
+def test_score_against_dictionaries(spark, tmp_path):
+    """All columns of op1 against brute force; a probe of the filter may answer too high a level, seldom."""
+    rnd = random.Random(11)
+    words = [f"w{min(int(rnd.expovariate(0.05)), 200)}" for _ in range(30_000)]
+    rows = [(i, " ".join(words[40 * i : 40 * i + rnd.randint(0, 40)]) if i % 50 else None) for i in range(700)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op1_lm_scoring(spark, str(tmp_path)).collect()
+    out = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    want = model_of([t or "" for i, t in rows if not out(i)])
+    texts = dict(rows)
+    assert len(got) == len(rows) and all(r.held_out == out(r.doc_id) for r in got)
+    off = [abs(r.score - want(texts[r.doc_id])) / r.n_tokens for r in got]
+    assert sum(off) / len(off) < 0.02 and max(off) < 0.3
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
