@@ -26,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a local one where it names none."""
+    """The folder that driver and executors share, as the cluster names it; on a local master, a new one where none is."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="corpusmill-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
@@ -49,6 +51,14 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def private(docs: DataFrame, name: str) -> str:
+    """A column name that no column of the frame has, upper or lower case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Binds a value to a lambda variable, so that it is computed once even where the body uses it in inner lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -131,11 +141,12 @@ class Shipped:
 
 
 def extend(docs: DataFrame, made: T.StructType, fill: Callable[[pa.RecordBatch], list[list]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds columns that Python fills batch by batch; they replace input columns of the same names.
+    """Adds columns that Python fills batch by batch; they replace input columns of the same names, upper or lower case.
 
     A batch is all that a worker holds, so memory doesn't grow with the input. Columns in drop are read but not returned.
     """
-    keep = [c for c in docs.columns if c not in made.names and c not in drop]
+    gone = {c.lower() for c in (*made.names, *drop)}
+    keep = [c for c in docs.columns if c.lower() not in gone]
     types = [f.type for f in to_arrow_schema(made)]
     names = [*keep, *made.names]
 

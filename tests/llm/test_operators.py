@@ -12,7 +12,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crf_quality, decontaminate, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, queries, secrets, url_filter
+from corpusmill.llm import crf_quality, decontaminate, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, queries, secrets, spans, url_filter
 from corpusmill.llm.common import remainder
 from corpusmill.llm.spans import joined, replaced
 
@@ -178,10 +178,56 @@ def test_secrets(spark, empty):
 
 def test_window_entropy(spark):
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice("abcdefgh01234567XYZ") for _ in range(rnd.randint(20, 60))) for _ in range(20)] + ["a" * 30, "short"]
+    texts = ["".join(rnd.choice("abcdefgh01234567XYZ/+") for _ in range(rnd.randint(20, 90))) for _ in range(40)] + ["".join(rnd.choice("abcdef0123") for _ in range(30)), "a" * 30, "short"]
+    members = {"hex": re.compile("[0-9a-fA-F]{20}"), "alnum": re.compile("[0-9a-zA-Z]{20}"), "base64": re.compile("[0-9a-zA-Z/+_=-]{20}")}
+    h = lambda w: -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", secrets.window_entropy(F.col("t")).alias("e")).collect():
-        h = lambda w: -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-        assert r.e == pytest.approx(max((h(r.t[i : i + 20]) for i in range(len(r.t) - 19)), default=0.0), abs=1e-9)
+        for name, fits in members.items():
+            windows = [r.t[i : i + 20] for i in range(len(r.t) - 19)]
+            assert r.e[name] == pytest.approx(max((h(w) for w in windows if fits.fullmatch(w)), default=0.0), abs=1e-9), (r.t, name)
+
+
+LONG = {
+    "dots": "a@b" + ".c" * 5_000_000, "paths": "a1/" * 3_000_000, "addresses": "x1@y.co " * 200_000, "digits": "1" * 5_000_000, "spaced": "1 " * 1_000_000, "pairs": "1.1.1.1 " * 20_000, "plus": "+1(" * 300_000,
+    "hex": "0123456789abcdef " * 20_000, "assign": "token=abcdefghijkl1 " * 20_000, "ats": "a [at] " * 100_000, "lands": "AB12 " * 100_000, "titles": "Dr. " * 50_000, "base64": "Ab1/" * 50_000, "letters": "a" * 5_000_000,
+}
+
+
+def test_long_repeating_texts(spark):
+    """Megabytes of a shape that repeats neither overflow Java's stack nor take quadratic time."""
+    frame = spark.createDataFrame(list(LONG.items()), "name string, text string").repartition(4)
+    for r in secrets.scan(frame).select("name", joined(F.col("base")).alias("base"), F.size("secrets").alias("n")).collect():
+        t = LONG[r.name]
+        want = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 12] + [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        assert r.base == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(want)) and r.n >= len(want), r.name
+    found = pii.detect(frame)
+    for row in found.select("name", "spans", replaced(F.col("text"), F.col("spans"), lambda s: F.lit("#")).alias("masked"), joined(F.filter("spans", lambda s: s["base"])).alias("base")).collect():
+        t = LONG[row.name]
+        assert row.base == ("" if row.name in ("digits", "letters") else brute_pii(t)), row.name  # the plain patterns are quadratic on those
+        at, out = 0, []
+        for s in row.spans:
+            if s.start >= at:
+                out += [t[at : s.start], "#"]
+            at = max(at, s.end)
+        assert row.masked == "".join(out) + t[at:], row.name
+
+
+def test_scans_and_searches(spark):
+    """Running values, overlaps and pieces of texts against plain loops."""
+    rnd = random.Random(6)
+    rows = []
+    for n in (0, 1, 2, 3, 5, 8, 50):
+        a, b = (sorted((x, x + rnd.randint(1, 9)) for x in (rnd.randint(0, 5 * n + 5) for _ in range(n))) for _ in range(2))
+        text = "".join(rnd.choice("aé\U0001f600") for _ in range(rnd.choice((0, 1, 1023, 1024, 1025, 4000))))
+        rows.append((a, b, text, *sorted(rnd.randint(0, len(text)) for _ in range(2))))
+    kind = "array<struct<start:int,end:int>>"
+    frame = spark.createDataFrame(rows, f"a {kind}, b {kind}, text string, low int, high int")
+    ends = F.transform("a", lambda s: s["end"])
+    for r in frame.select("*", spans.sums(ends).alias("sums"), spans.maxima(ends).alias("maxima"), spans.clear_of(F.col("a"), F.col("b")).alias("clear"), spans.piece(spans.chunked(F.col("text")), F.col("low"), F.col("high")).alias("piece")).collect():
+        e = [s.end for s in r.a]
+        assert r.sums == [sum(e[: i + 1]) for i in range(len(e))] and r.maxima == [max(e[: i + 1]) for i in range(len(e))]
+        assert r.clear == [s for s in r.a if not any(s.start < o.end and o.start < s.end for o in r.b)]
+        assert r.piece == r.text[r.low : r.high]
 
 
 def test_urls(spark):
