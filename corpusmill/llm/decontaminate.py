@@ -1,26 +1,27 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 The patterns are the windows of WINDOW consecutive words of the benchmark items. Blocks of two words index a shift
-table that skips positions where no window can end; where the shift is 0, the block selects a bucket of windows, and
-comparing all words confirms an occurrence.
+table that skips positions where no window can end; where the shift is 0, the hash of the words up to there selects a
+bucket of windows, and comparing all words confirms an occurrence. Words are numbers and all tables flat arrays: about
+25 bytes a window, and a dictionary of the benchmark's distinct words.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shipped, clean, extend
+from .common import Shipped, clean, extend, private, written
 
 WINDOW = 10
 #: Benchmark text that one pass over the documents searches for; more of it takes more passes.
 PASS_BYTES = 16_000_000
 #: ASCII letters in lower case, digits and all bytes beyond ASCII make words; the rest separates them.
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -28,48 +29,93 @@ def split_words(text: str | None) -> list[bytes]:
     return clean(text).translate(_TABLE).split()
 
 
-class Windows:
-    """Shift table and buckets for the windows of one length."""
-
-    def __init__(self, length: int) -> None:
-        self.length, self.block = length, min(2, length)
-        self.default = length - self.block + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], dict[tuple[bytes, ...], set[str]]] = defaultdict(dict)
+def hashed(numbers: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of so many numbers that begin at the starts."""
+    total = np.full(len(starts), length, np.uint64)
+    for i in range(length):
+        total = (total ^ (total >> np.uint64(29))) * _K + numbers[starts + i]
+    return total ^ (total >> np.uint64(32))
 
-    def add(self, window: tuple[bytes, ...], item: str) -> None:
-        for end in range(self.block, self.length + 1):
-            key, far = window[end - self.block : end], self.length - end
-            self.shift[key] = min(self.shift.get(key, self.default), far)
-        self.buckets[window[-self.block :]].setdefault(window, set()).add(item)
 
-    def search(self, words: list[bytes], hits: list[tuple[int, int]], items: set[str]) -> None:
+class Windows:
+    """Shift table and buckets for the windows of one length, which begin at `starts` in the items' words."""
+
+    def __init__(self, length: int, numbers: np.ndarray, starts: np.ndarray, items: np.ndarray) -> None:
+        self.length, self.block, self.numbers = length, min(2, length), numbers
+        self.bits = max(8, int(4 * len(starts)).bit_length())
+        self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8)
+        for end in range(self.block, length + 1):  # from far to near: what is written later is less
+            self.shift[self.place(numbers, starts + end - self.block)] = length - end
+        keys = hashed(numbers, starts, length)
+        order = np.lexsort((items, keys))
+        again = np.concatenate([[False], (keys[order][1:] == keys[order][:-1]) & (items[order][1:] == items[order][:-1]) & self.same(starts[order][1:], starts[order][:-1])])
+        order = order[~again]
+        self.keys, self.starts, self.items = keys[order], starts[order].astype(np.uint32), items[order].astype(np.uint32)
+
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.ones(len(a), bool)
+        for i in range(self.length):
+            out &= self.numbers[a + i] == self.numbers[b + i]
+        return out
+
+    def place(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the blocks that begin at the starts stand in the shift table; blocks that clash share the least shift."""
+        return (hashed(numbers, starts, self.block) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def search(self, numbers: np.ndarray, hits: list[tuple[int, int]], items: set[int]) -> None:
         """Adds the word ranges of all occurrences, in order, and their items."""
-        length, pair, default, shift, buckets = self.length, self.block == 2, self.default, self.shift.get, self.buckets
-        end, n = length - 1, len(words)
-        while end < n:
-            key = (words[end - 1], words[end]) if pair else (words[end],)
-            if skip := shift(key, default):
-                end += skip
+        n, length = len(numbers), self.length
+        if n < length or not len(self.keys):
+            return
+        shifts = self.shift[self.place(numbers, np.arange(length - self.block, n - self.block + 1))]
+        if shifts.all():
+            return
+        skip, at, found = shifts.tobytes(), 0, []
+        while at < len(skip):
+            if skip[at]:
+                at += skip[at]
+            else:
+                found.append(at)
+                at += 1
+        begins = np.array(found, np.int64)
+        keys = hashed(numbers, begins, length)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        for k in np.flatnonzero(high > low).tolist():
+            rows = np.arange(low[k], high[k])
+            equal = (self.numbers[self.starts[rows].astype(np.int64)[:, None] + np.arange(length)] == numbers[begins[k] : begins[k] + length]).all(axis=1)
+            if equal.any():
+                items.update(self.items[rows[equal]].tolist())
+                hits.append((int(begins[k]), int(begins[k]) + length))
+
+
+class Searcher:
+    """The windows of all lengths, the numbers of the benchmark's words and the names of its items."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW) -> None:
+        self.number: dict[bytes, int] = {}
+        self.names = sorted({i for i, _ in items})
+        of = {name: k for k, name in enumerate(self.names)}
+        parts, at, by = [], 0, {}
+        for item, text in items:
+            words = split_words(text)
+            if not words:
                 continue
-            if found := buckets[key].get(tuple(words[end - length + 1 : end + 1])):
-                items |= found
-                hits.append((end - length + 1, end + 1))
-            end += 1
-
-
-def compiled(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[Windows]:
-    """Search tables by window length. Items with fewer words than a window are one window; without words, none."""
-    by: dict[int, Windows] = {}
-    for item, text in items:
-        words = split_words(text)
-        if not words:
-            continue
-        length = min(window, len(words))
-        table = by.setdefault(length, Windows(length))
-        for i in range(len(words) - length + 1):
-            table.add(tuple(words[i : i + length]), item)
-    return [by[k] for k in sorted(by)]
+            length = min(window, len(words))
+            parts.append(np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint32))
+            starts = np.arange(at, at + len(words) - length + 1)
+            by.setdefault(length, []).append((starts, np.full(len(starts), of[item])))
+            at += len(words)
+        numbers = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        self.tables = [Windows(k, numbers, *(np.concatenate([x[i] for x in by[k]]) for i in (0, 1))) for k in sorted(by)]
+
+    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, ranges of words that are hit, and items with an occurring window."""
+        get = self.number.get
+        words = [get(w, 0) for w in split_words(text)]
+        numbers, hits, items = np.array(words, np.uint32), [], set()
+        for table in self.tables:
+            table.search(numbers, hits, items)
+        return len(words), hits, {self.names[i] for i in items}
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -90,34 +136,35 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, pass_by
     """Adds n_words, n_hit, items (sorted ids of items with an occurring window), hits (word ranges) and contaminated.
 
     Null and empty texts have no words and no hits; items without words occur nowhere. A null item_id counts as an item
-    named by the empty string, rows that repeat an item_id as one item. Other columns stay, except those named like an
-    output. The benchmark is read in passes of bounded size: each broadcasts the tables of its items alone, and the
-    next adds to what it found, so that a large benchmark costs more passes and not more memory.
+    named by the empty string, rows that repeat an item_id as one item; equal rows of the benchmark count once. Repeated
+    documents are judged alike, an empty table gives an empty table. Other columns stay, except those named like an
+    output. The benchmark is read in passes of about pass_bytes (an item is never cut, so a longer one is a pass of its
+    own size): each broadcasts the tables of its items alone. Where there are several, what a pass found is written
+    before the next, so that a task holds the tables of one pass, however large the benchmark is.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    keyed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").distinct()
+    size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = max(1, -(-size // pass_bytes))
-    keyed = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    out = docs
+    held = private(docs, "found")
+    out, made = docs, T.StructType([T.StructField(held, FOUND)])
     for k in range(passes):
         part = keyed.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        sent = Shipped(spark, compiled([(r.item, r.text) for r in part.collect()], window))
+        sent = Shipped(spark, Searcher(sorted(((r.item, r.text) for r in part.collect()), key=repr), window))
 
         def fill(batch: pa.RecordBatch, sent=sent, first: bool = not k) -> list[list]:  # noqa: ANN001
-            columns: list[list] = [[], [], [], []]
-            before = zip(*([batch.column(c).to_pylist() for c in ("items", "hits")]), strict=True) if not first else None
-            for text in batch.column("text").to_pylist():
-                words, hits, items = split_words(text), [], set()
-                for table in sent.value:
-                    table.search(words, hits, items)
-                if before is not None:
-                    had, spans = next(before)
-                    items |= set(had)
-                    hits += [(s["start"], s["end"]) for s in spans]
+            before = [None] * batch.num_rows if first else batch.column(held).to_pylist()
+            rows = []
+            for text, had in zip(batch.column("text"), before, strict=True):
+                n, hits, items = sent.value.search(text.as_py())
+                if had:
+                    items |= set(had["items"])
+                    hits += [(s["start"], s["end"]) for s in had["hits"]]
                 hits = merged(hits)
-                for column, value in zip(columns, (len(words), sum(b - a for a, b in hits), sorted(items), [{"start": a, "end": b} for a, b in hits]), strict=True):
-                    column.append(value)
-            return columns
+                rows.append({"n_words": n, "n_hit": sum(b - a for a, b in hits), "items": sorted(items), "hits": [{"start": a, "end": b} for a, b in hits]})
+            return [rows]
 
-        out = extend(out, FOUND, fill, drop if k == passes - 1 else ())
+        out = extend(out, made, fill, drop if k == passes - 1 else ())
+        out = written(out, "decontamination") if k < passes - 1 else out
+    out = out.withColumns({f.name: F.col(held)[f.name] for f in FOUND}).drop(held)
     return out.withColumn("contaminated", F.col("n_hit") > 0)

@@ -342,6 +342,20 @@ def test_decontamination(spark, rows, docs, empty, pass_bytes):
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_tables_of_a_large_benchmark():
+    """Flat tables: a pass of benchmark text takes a few dozen bytes a window, pickled or not."""
+    import pickle
+
+    rnd = random.Random(8)
+    words = [f"word{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(rnd.choices(words, k=400))) for i in range(500)]
+    made = decontaminate.Searcher(items)
+    assert len(pickle.dumps(made)) < 40 * 400 * 500
+    for name, text in items[::100]:
+        part = text.split()[50:80]
+        assert made.search("x y " + " ".join(part) + " z") == (33, [(k, k + 10) for k in range(2, 23)], {name})
+
+
 def test_cross_parsing_against_brute_force():
     texts = {"a": "the cat sat on the mat and the dog", "b": "le chat dort sur la table et le chien"}
     model = language_id.Model(texts)
