@@ -2,14 +2,13 @@
 
 A suffix automaton of labelled text per language tells how far a text can be parsed by substrings of that language's
 text. The number of phrases, times the log of the training length, over the number of characters estimates the
-cross-entropy; the language with the least wins. The automata are flat transition tables, and a batch's texts are
-parsed in lockstep, a character of every segment at a time, so that whole texts of any length are read at array speed.
+cross-entropy; the language with the least wins. The symbols are the UTF-8 bytes of lower-case letters, so that the
+alphabet is open: letters of all scripts are told apart, and a transition table has at most 256 columns. A batch's texts
+are parsed in lockstep, a byte of every segment at a time, so that whole texts of any length are read at array speed.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,35 +17,42 @@ from pyspark.sql import types as T
 
 from .common import Shipped, extend
 
-#: The bounded training sample: different texts a language, characters of each, characters a language.
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 48, 2_000, 32_000
-LETTERS = 62
-#: Texts are parsed in segments; a phrase ends at a segment's end, alike for all languages.
-SEGMENT = 1024
+#: The bounded training sample: so many different units a language, drawn by hash. A unit is a whole document; one of
+#: more than UNIT_CHARS characters is cut into units of that size, any of which may be drawn.
+SAMPLE_UNITS, UNIT_CHARS = 24, 4_000
+#: Least hashes are taken over so many groups a language before the units are drawn from them.
+GROUPS = 1024
+#: Texts are parsed in segments of so many bytes; a phrase ends at a segment's end, alike for all languages.
+SEGMENT = 1 << 14
 OTHER, SPACE = 0, 1
 
 
 class Alphabet:
-    """Codes of code points: 0 letters not in training, 1 everything that isn't a letter, then the frequent letters."""
-
-    def __init__(self, texts: list[str], letters: int = LETTERS) -> None:
-        counts = Counter(c for t in texts for c in t.lower() if c.isalpha())
-        top = sorted(counts, key=lambda c: (-counts[c], c))[:letters]
-        code = {c: i + 2 for i, c in enumerate(top)}
-        self.size = len(top) + 2
-        self.of = np.full(0x110000, SPACE, np.uint8)
+    """Codes of bytes: 0 bytes not in training, 1 a run of anything but letters, then the bytes of lower-case letters."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.points = np.full(0x110000, 32, np.uint32)
         for i in range(0x110000):
             if (c := chr(i)).isalpha():
-                self.of[i] = code.get(c) or code.get(c.lower()[:1], OTHER)
+                self.points[i] = ord(c.lower()[:1])
+        used = np.zeros(256, bool)
+        for t in texts:
+            used[self.letters(t)] = True
+        used[32] = False
+        self.size = int(used.sum()) + 2
+        self.code = np.full(256, OTHER, np.uint8)
+        self.code[np.flatnonzero(used)] = np.arange(2, self.size)
+        self.code[32] = SPACE
+
+    def letters(self, text: str) -> np.ndarray:
+        """UTF-8 bytes of a text's letters, lower case, each run of other characters a single space; none ends a text."""
+        points = self.points[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = points != 32
+        keep[1:] |= points[:-1] != 32
+        return np.frombuffer(points[keep].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
 
     def encode(self, text: str) -> np.ndarray:
-        """Codes of a text, each run of other characters a single space."""
-        codes = self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        keep = codes != SPACE
-        keep[1:] |= codes[:-1] != SPACE
-        if len(keep):
-            keep[0] = codes[0] != SPACE
-        return codes[keep]
+        return self.code[self.letters(text)]
 
 
 def automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -139,20 +145,23 @@ class Model:
         return [self.languages[b] if x else "und" for b, x in zip(best, lettered, strict=True)], [float(s) if x else 0.0 for s, x in zip(score, lettered, strict=True)]
 
 
-def train(labelled: DataFrame) -> Model:
-    """Learns from columns text and lang: of each language the SAMPLE_DOCS different texts that come first by hash.
+def train(labelled: DataFrame, units: int = SAMPLE_UNITS, unit_chars: int = UNIT_CHARS) -> Model:
+    """Learns from columns text and lang: of each language so many different units, whole documents mostly, by hash.
 
-    Copies are put together within the map tasks, by hash, so that a large group of them counts once. Row numbers up to
-    a limit are cut within the tasks too, so that a language with most of the rows isn't one task's.
+    Copies have one hash, so that a large group of them counts once. Minima of hashes are taken within the map tasks, and
+    only the units drawn come to the driver. The tables' size grows with the number of languages alone. Rows without a
+    text or lang teach nothing; without any, no language is known.
     """
-    some = labelled.where("text is not null and lang is not null").select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    hashes = some.select("lang", "h").distinct()
-    first = hashes.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= SAMPLE_DOCS)
-    sample = some.join(F.broadcast(first), ["lang", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{unit_chars}}}+"), F.lit(0))
+    cut = F.when(F.length("text") <= unit_chars, F.array("text")).otherwise(pieces)
+    some = labelled.where("text is not null and lang is not null").select("lang", F.explode(cut).alias("text")).withColumn("h", F.xxhash64("text"))
+    least = some.groupBy("lang", F.pmod("h", F.lit(GROUPS)).alias("g")).agg(F.min("h").alias("h"))
+    drawn = least.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= units).drop("g")
+    sample = some.join(F.broadcast(drawn), ["lang", "h"]).groupBy("lang", "n").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
     for r in sorted(sample.collect()):
         texts.setdefault(r.lang, []).append(r.text)
-    return Model({k: "\n".join(v)[:TRAIN_CHARS] for k, v in texts.items()})
+    return Model({k: "\n".join(v) for k, v in texts.items()})
 
 
 PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -380,10 +380,44 @@ def test_language_is_learned_from_different_texts(spark, monkeypatch):
     rows = [("en", f"text {i}") for i in range(60) for _ in range(1 if i % 3 else 50)] + [("fr", "un seul texte")] * 100
     language_id.train(spark.createDataFrame(rows, "lang string, text string"))
     lines = learned["en"].split("\n")
-    assert len(lines) == len(set(lines)) == language_id.SAMPLE_DOCS
+    assert len(lines) == len(set(lines)) == language_id.SAMPLE_UNITS
     assert learned["fr"] == "un seul texte"
 
 
+def test_scripts_are_told_apart():
+    """Letters of all scripts count, those that training has seen and others."""
+    texts = {"el": "\u03b7 \u03b3\u03ac\u03c4\u03b1 \u03ba\u03ac\u03b8\u03b5\u03c4\u03b1\u03b9 " * 20, "ru": "\u043a\u043e\u0448\u043a\u0430 \u0441\u0438\u0434\u0438\u0442 " * 20, "ja": "\u732b\u304c\u5ea7\u308b " * 20, "zh": "\u732b\u5750\u5728\u57ab\u5b50\u4e0a " * 20, "en": "the cat sits here " * 20}
+    texts["zz"] = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 3000))
+    model = language_id.Model(texts)
+    got = model.predict([texts["el"][:9], texts["ru"][6:15], "\u304c\u5ea7\u308b", "\u5750\u5728\u57ab", "cat here", "".join(chr(c) for c in range(0x5600, 0x5610))])[0]
+    assert got == ["el", "ru", "ja", "zh", "en", "zz"]
+
+
+def test_long_documents_teach_from_all_their_parts(spark, monkeypatch):
+    learned = {}
+    monkeypatch.setattr(language_id, "Model", lambda texts: learned.update(texts))
+    text = "".join(f"{i:06d} " for i in range(4000))
+    language_id.train(spark.createDataFrame([("en", text), ("en", "whole"), (None, "no"), ("en", None)], "lang string, text string"), unit_chars=700)
+    assert "whole" in learned["en"].split("\n") or len(learned["en"].split("\n")) == language_id.SAMPLE_UNITS
+    assert any(int(line[:6]) > 2000 for line in learned["en"].split("\n") if line[:6].isdigit())
+
+
+def test_language_on_held_out_rows(spark):
+    """All columns of op7 at sf0.01: held-out rows by their labels."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op7_language_id(spark, sf).collect()
+    assert len(got) == len(truth)
+    right = []
+    for r in got:
+        doc = truth[r.doc_id]
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in doc.text or ""))
+        if r.held_out and doc.lang and r.lang_pred != "und":
+            right.append(r.lang_pred == doc.lang)
+    assert len(right) > 100 and sum(right) / len(right) > 0.98
+
+
 def test_language_id(spark, docs, empty):
     model = language_id.Model({"en": "the cat sat on the mat " * 20, "fr": "le chat dort sur la table " * 20})
     frame = spark.createDataFrame([(1, "the mat"), (2, "la table dort"), (3, None), (4, "123 !"), (5, "le chat " * 3000)], "doc_id int, text string")
