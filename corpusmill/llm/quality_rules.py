@@ -12,10 +12,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, whole, words
+from .common import let, private, stored, whole, words
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
+#: A word of letters, with punctuation around it.
+PLAIN = r"""(?<![^\x20\x09-\x0D])["'(]?+\p{L}[\p{L}\p{M}'\u2019-]*+[.,;:!?)"']{0,3}+(?![^\x20\x09-\x0D])"""
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
@@ -27,6 +29,9 @@ RULES = (
     ("repetition", "greatest(n_dup_lines / n_lines, n_repeat_words / n_words)", 0.5, 0.3),
     ("long_words", "word_chars / n_words", 14.0, 10.0),
     ("digits", "n_digits / greatest(word_chars, 1)", 0.3, 0.05),
+    ("plain_words", "n_plain_words / n_words", 0.75, 0.93),
+    ("symbol_lines", "n_symbol_lines / n_lines", 0.5, 0.1),
+    ("line_ends", "n_ended_lines / n_lines", 0.1, 0.5),
 )
 
 
@@ -62,16 +67,19 @@ def measures(docs: DataFrame) -> DataFrame:
     """Adds the counts that the rules look at. Null texts count as empty; all other columns stay."""
     text = whole()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    matching = lambda x, pattern: F.size(F.filter(x, lambda y: y.rlike(pattern))).cast("long")
     from_words = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    from_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    from_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), matching(x, rf"[{SYMBOLS}].*[{SYMBOLS}]").alias("n_symbol_lines"), matching(x, r"""[.!?:;]["')\]]?[\x20\x09-\x0D]*+$""").alias("n_ended_lines")))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    made = docs.withColumns({"_w": from_words, "_l": from_lines})
+    w = private(docs, "counted")
+    made = docs.withColumn(w, F.struct(from_words.alias("w"), from_lines.alias("l")))
     made = made.withColumns({
-        "n_words": F.col("_w.n_words"), "n_repeat_words": F.col("_w.n_repeat_words"), "n_lines": F.col("_l.n_lines"), "n_dup_lines": F.col("_l.n_dup_lines"),
+        "n_words": F.col(f"{w}.w.n_words"), "n_repeat_words": F.col(f"{w}.w.n_repeat_words"), "n_lines": F.col(f"{w}.l.n_lines"), "n_dup_lines": F.col(f"{w}.l.n_dup_lines"),
+        "n_symbol_lines": F.col(f"{w}.l.n_symbol_lines"), "n_ended_lines": F.col(f"{w}.l.n_ended_lines"), "n_plain_words": count(PLAIN),
         "word_chars": F.length(text).cast("long") - count(r"[\x20\x09-\x0D]"), "n_symbols": count(f"[{SYMBOLS}]"), "n_bangs": count("!!"),
         "n_upper": count(r"\p{Lu}"), "n_digits": count("[0-9]"),
     })
-    return made.drop("_w", "_l")
+    return made.drop(w)
 
 
 def vote(share: str, bad: float, good: float) -> Column:
@@ -81,41 +89,39 @@ def vote(share: str, bad: float, good: float) -> Column:
     return F.when(F.col("n_words") == 0, 0).when(is_bad, -1).when(is_good, 1).otherwise(0)
 
 
-#: What is believed of a rule before any data: how often it votes -1, 0 and 1 on good and on bad documents.
-BELIEF = {-1: (0.01, 0.3), 0: (0.04, 0.2), 1: (0.95, 0.5)}
+#: What is believed before any data: the share of good documents, and how often a rule votes -1, 0 and 1 on good and on
+#: bad ones. It counts as TRUST documents, however many there are.
+BALANCE, BELIEF, TRUST = 0.7, {-1: (0.02, 0.4), 0: (0.08, 0.2), 1: (0.9, 0.4)}, 100.0
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, trust: float = 0.5, balance: float = 0.65) -> tuple[float, list[dict[int, float]]]:
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, trust: float = TRUST) -> tuple[float, list[dict[int, float]]]:
     """EM over vote patterns and their counts: the log prior odds of good, and each rule's log odds by vote.
 
-    It starts from documents without a bad vote as good. The classes' balance is given, not learned: each kind of junk
-    has its own rule, and a free balance lets a rare class die out. BELIEF counts as `trust` times the documents of a class, so
-    that the classes keep their meaning; a bad vote never speaks for good. Repeatable: patterns are sorted.
+    The classes' balance and how each rule votes on either class are estimated, from BALANCE and BELIEF on. A rule is
+    taken to be no worse than chance: its bad vote never speaks for good, nor its good vote for bad, which keeps the
+    classes' meaning. Repeatable: patterns are sorted. Without patterns what is believed holds.
     """
     patterns = sorted(patterns)
-    total = sum(c for _, c in patterns)
-    good = [0.1 if -1 in p else 0.97 for p, _ in patterns]
-    prior, odds = math.log(balance / (1 - balance)), []
-    n_rules = len(patterns[0][0]) if patterns else 0
+    n_rules = len(patterns[0][0]) if patterns else len(RULES)
+    prior, odds = math.log(BALANCE / (1 - BALANCE)), [{v: math.log(g / b) for v, (g, b) in BELIEF.items()} for _ in range(n_rules)]
+    good: list[float] = []
     for _ in range(rounds):
+        logits = [prior + sum(o[v] for o, v in zip(odds, p, strict=True)) for p, _ in patterns]
+        new = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logits]
+        moved, good = max((abs(a - b) for a, b in zip(new, good, strict=False)), default=1.0), new
+        if moved < 1e-9:
+            break
+        total = sum(c for _, c in patterns)
         n_good = sum(c * g for (_, c), g in zip(patterns, good, strict=True))
-        n_bad = total - n_good
-        odds = []
+        share = (n_good + trust * BALANCE) / (total + trust)
+        prior, odds = math.log(share / (1 - share)), []
         for r in range(n_rules):
             by = {}
             for v, (in_good, in_bad) in BELIEF.items():
                 held_good = sum(c * g for (p, c), g in zip(patterns, good, strict=True) if p[r] == v)
                 held_bad = sum(c * (1 - g) for (p, c), g in zip(patterns, good, strict=True) if p[r] == v)
-                p_good = (held_good + (trust * n_good + 1) * in_good) / (n_good * (1 + trust) + 1)
-                p_bad = (held_bad + (trust * n_bad + 1) * in_bad) / (n_bad * (1 + trust) + 1)
-                by[v] = math.log(p_good / p_bad)
-            odds.append(by | {-1: min(by[-1], 0.0)})
-        logits = [prior + sum(o[v] for o, v in zip(odds, p, strict=True)) for p, _ in patterns]
-        new = [1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in logits]
-        moved = max((abs(a - b) for a, b in zip(new, good, strict=True)), default=0)
-        good = new
-        if moved < 1e-9:
-            break
+                by[v] = math.log((held_good + trust * in_good) / (n_good + trust) / ((held_bad + trust * in_bad) / (total - n_good + trust)))
+            odds.append(by | {-1: min(by[-1], 0.0), 1: max(by[1], 0.0)})
     return prior, odds
 
 

@@ -163,6 +163,13 @@ SECRETS = [
 ]
 
 
+def brute_secrets(t):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
 def test_secrets(spark, empty):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(SECRETS)], "doc_id int, text string")
     for r in secrets.scan(frame).select("text", joined(F.col("base")).alias("base"), joined(F.col("secrets")).alias("all")).collect():
@@ -176,6 +183,24 @@ def test_secrets(spark, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_spans_of_whole_tables(spark):
+    """All columns of op2 and op10 at sf0.01: the base by brute force; the method only adds spans away from it."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for query, names, brute in ((queries.op2_secret_scan, ("assign", "access", "hex"), brute_secrets), (queries.op10_pii, pii.BASE, brute_pii)):
+        got = query(spark, sf).collect()
+        assert sorted(r.doc_id for r in got) == sorted(truth)
+        for r in got:
+            base = brute(truth[r.doc_id])
+            parts = [x.split(":") for x in base.split(",") if x]
+            assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+            assert [r[f"n_{k}"] for k in names] == [sum(p[0] == k for p in parts) for k in names]
+            spanned = [x.split(":") for x in r.spans.split(",") if x]
+            assert [p for p in spanned if p[0] in names] == parts
+            for kind, a, b in spanned:
+                assert kind in names or all(int(b) <= int(x[1]) or int(x[2]) <= int(a) for x in parts)
+
+
 def test_window_entropy(spark):
     rnd = random.Random(2)
     texts = ["".join(rnd.choice("abcdefgh01234567XYZ/+") for _ in range(rnd.randint(20, 90))) for _ in range(40)] + ["".join(rnd.choice("abcdef0123") for _ in range(30)), "a" * 30, "short"]
@@ -478,11 +503,39 @@ def test_quality_rules(rows, docs, empty):
     assert quality_rules.judge(empty).count() == 0
 
 
-def test_rules_find_a_rare_class():
-    patterns = [((1, 1, 1, 1), 900), ((-1, 1, 1, 1), 60), ((1, -1, -1, 1), 30), ((1, 0, 1, 1), 10)]
-    prior, odds = quality_rules.fit(patterns)
+def test_rules_are_estimated():
+    """EM finds the balance and the rules' reliabilities of simulated votes; rules that agree make a document bad."""
+    rnd = random.Random(12)
+    right = (0.95, 0.9, 0.85, 0.75)
+    patterns, bad = Counter(), 0
+    for _ in range(20_000):
+        good = rnd.random() > 0.12
+        bad += not good
+        patterns[tuple(0 if rnd.random() < 0.1 else (1 if good else -1) * (1 if rnd.random() < p else -1) for p in right)] += 1
+    prior, odds = quality_rules.fit(list(patterns.items()))
+    assert 1 / (1 + math.exp(prior)) == pytest.approx(bad / 20_000, abs=0.03)
+    for o, p in zip(odds, right, strict=True):
+        assert o[1] == pytest.approx(math.log(p / (1 - p)), abs=0.9) and o[-1] == pytest.approx(-math.log(p / (1 - p)), abs=0.9)
+    assert [o[1] for o in odds] == sorted((o[1] for o in odds), reverse=True)
     logit = lambda p: prior + sum(o[v] for o, v in zip(odds, p, strict=True))
-    assert logit((1, 1, 1, 1)) > 0 and logit((-1, 1, 1, 1)) < 0 and logit((1, -1, -1, 1)) < 0
+    assert logit((1, 1, 1, 1)) > 0 > logit((-1, -1, 1, 1)) and quality_rules.fit([])[0] > 0
+
+
+def test_quality_of_labelled_rows(spark):
+    """All columns of op9 at sf0.01: the base by brute force, the method's verdict by the labels."""
+    sf = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got, right = queries.op9_quality_rules(spark, sf).collect(), []
+    assert len(got) == len(truth)
+    for r in got:
+        t = truth[r.doc_id] or ""
+        w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        assert (r["n_words"], r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), brute_repeats(w))
+        assert r.base_failed == (len(w) < 20 or 100 * r.n_repeat_words > 30 * len(w)) and not (r.kept and r.base_failed)
+        if not r.base_failed and r.doc_id in labels:
+            right.append(r.kept == (labels[r.doc_id] == 1))
+    assert len(right) > 200 and sum(right) / len(right) > 0.98
 
 
 def luhn(d):
@@ -515,6 +568,28 @@ def test_pii(spark, empty):
     assert pii.detect(empty).count() == 0
 
 
+def test_reliabilities_are_estimated():
+    """EM finds the share of personal data of a kind and prefers the votes of the reliable labeler."""
+    rnd, table = random.Random(4), Counter()
+    for _ in range(20_000):
+        true = rnd.random() < 0.3
+        vote = lambda p: 1 if rnd.random() < (p if true else 1 - p) else -1  # noqa: E731, B023
+        table[vote(0.97), vote(0.8), vote(0.75)] += 1
+    rows = [(dict(zip(pii.VOTES, v, strict=True)) | {"kind": "ssn"}, n) for v, n in table.items()]
+    tables, share, posterior = pii.reliabilities(rows)
+    assert share["ssn"] == pytest.approx(0.3, abs=0.05) and tables["shape"][0][0] > 0.9
+    p = {tuple(r[v] for v in pii.VOTES): q for (r, _), q in zip(rows, posterior, strict=True)}
+    assert p[1, 1, 1] > 0.9 > 0.5 > p[-1, 1, -1] and p[-1, -1, -1] < 0.05
+
+
+def test_loose_kinds_need_evidence(spark):
+    """With base spans alone to learn from, a looser candidate stays only if gazetteer and context speak for it."""
+    texts = ["mail me at a.b@example.com please"] * 30 + ["ssn: 078-05-1120 x", "part 078-05-1120 x", "Dr. Xyzzy went", "signed Dr. Maria Lopez", "call 415 555 2671 now", "415 555 2671"]
+    got = {r.text: [s.kind for s in r.spans] for r in pii.detect(spark.createDataFrame([(t,) for t in texts], "text string")).select("text", "spans").collect()}
+    assert got["mail me at a.b@example.com please"] == ["email"] and got["part 078-05-1120 x"] == got["Dr. Xyzzy went"] == got["415 555 2671"] == []
+    assert got["signed Dr. Maria Lopez"] == ["name"]
+
+
 def test_replaced(spark):
     frame = pii.detect(spark.createDataFrame([("\U0001f600 a@b.co, 10.0.0.1!",), ("none",)], "text string"))
     got = [r[0] for r in frame.select(replaced(F.col("text"), F.col("spans"), lambda s: F.concat(F.lit("["), s["kind"], F.lit("]")))).collect()]
