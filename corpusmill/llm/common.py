@@ -44,11 +44,21 @@ def stored(frame: DataFrame) -> DataFrame:
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them again."""
+    """Writes the rows as Parquet in the shared folder and reads them again. `removed` deletes the files."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def removed(frame: DataFrame) -> None:
+    """Deletes what `written` wrote for a frame, once nothing reads it any more."""
+    if path := getattr(frame, "written_to", None):
+        spark = frame.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def private(docs: DataFrame, name: str) -> str:

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from .common import clean, extend
 
-#: Labelled documents that the field is fitted on, at most about; drawn by hash.
-SAMPLE_DOCS = 4_000
+#: Labelled documents that the field is fitted on, at most about; drawn by hash from those of so many characters at most.
+SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 50_000
 SYMBOLS, UPPER, DIGITS, BARS = b"#*$%&<>{}[]\\~^=", bytes(range(65, 91)), b"0123456789", b"|"
 FEATURES = ("bias", "log_words", "word_length", "symbols", "bangs", "upper", "digits", "bars", "ends", "repeated", "distinct", "empty")
 #: Of these features the line before and the line after count too.
@@ -134,16 +134,17 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, rate:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Model:
     """Fits on about `sample` labelled documents at most, whole texts, drawn by the hash of doc_id.
 
-    The labels drawn are few, so they are broadcast to the scan of the documents. Null labels are left out.
+    Both bounds hold for training alone: longer documents teach nothing, but are scored whole. The labels drawn are few,
+    so they are broadcast to the scan of the documents. Null labels are left out.
     """
     known = labels.where("quality is not null and doc_id is not null").select("doc_id", "quality")
     n = known.count()
     share = 1_000_000 if n <= sample else int(1_000_000 * sample / n)
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("crf")), F.lit(1_000_000)) < share)
-    rows = sorted((r.doc_id, r.text or "", int(r.quality > 0)) for r in docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect())
+    rows = sorted((r.doc_id, r.text or "", int(r.quality > 0)) for r in docs.where(F.coalesce(F.length("text"), F.lit(0)) <= chars).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").collect())
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -151,9 +152,9 @@ SCORE = T.StructType([T.StructField("score", T.DoubleType())])
 
 
 def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Adds score, from 0 to 1. Null and empty texts are one empty line; repeated rows get the same score.
+    """Adds score, from 0 to 1. Null and empty texts are one empty line; repeated rows and equal texts get the same score.
 
-    Other columns stay, except one named score.
+    An empty table gives an empty table. Other columns stay, except one named score.
     """
 
     def fill(batch: pa.RecordBatch) -> list[list]:

@@ -20,9 +20,10 @@ def tasks(n: int) -> int:
 def components(links: DataFrame, n_links: int, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for every node of the links (a, b): the smallest node that links reach from it.
 
-    Each step groups by node with a map-side minimum and joins it back, so that a node with very many links stays
-    spread; no list of neighbours is ever collected. It ends when a pass changes nothing. No step makes more than twice
-    n_links rows, which sets the number of tasks.
+    Each step groups by node with a map-side minimum and joins it back; no list of neighbours is ever collected. The join
+    deals a node's links to one partition, which adaptive execution splits where it is skewed, as the other side has a row
+    a node. It ends when a pass changes nothing, and raises if rounds run out first. No step makes more than twice n_links
+    rows, which sets the number of tasks.
     """
     k = tasks(2 * n_links)
     edges = stored(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(k))
@@ -39,5 +40,7 @@ def components(links: DataFrame, n_links: int, rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).coalesce(k)

@@ -1,4 +1,4 @@
-"""Exact similarity join on word shingles by vertical partitioning.
+"""Similarity join on word shingles by vertical partitioning: all links, by 51 bits or more of each shingle's hash.
 
 The global order of shingles is cut into fragments. Texts with equal shingle sets are one class. Within each fragment
 the classes that hold a shingle are counted; shingles of one class only can't be in any overlap, and classes with too
@@ -7,11 +7,14 @@ meeting; a candidate pair's overlap is counted in each fragment separately and s
 
 For components not every pair need be compared: star rounds first compare each class with the best leader of its
 prefix shingles and merge what links; then all pairs that still lie in different components and meet in a prefix are
-compared, so that no link between components is lost. Small tables get as many tasks as their rows ask for.
+compared, so that no link between components is lost. Of such a pair the class with fewer shingles has the shared one
+among its first ninth, the other within its prefix, and their sizes lie in the same or in neighbouring classes of size:
+texts that share much of a template without linking don't meet. Small tables get as many tasks as their rows ask for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ FRAGMENTS, STAR_ROUNDS = 4, 2
 #: that a task knows by heart.
 FLUSH, SEGMENT_SHINGLES, KNOWN, CHUNK = 1_500_000, 2_500_000, 300_000, 300_000
 #: Bits of a shingle's hash that travel within a segment, and bytes of a class's name.
-BITS, NAME = 40, 12
+BITS, NAME = 48, 12
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,13 +88,18 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def packed(h: np.ndarray) -> bytes:
-    """The low BITS bits of hashes, 4 bytes of each and then 1 of each: a segment's hashes share the high ones."""
-    return h.astype(np.uint32).tobytes() + (h >> np.uint64(32)).astype(np.uint8).tobytes()
+    """The low BITS bits of hashes, 4 bytes of each and then 2 of each: a segment's hashes share the high ones."""
+    return h.astype(np.uint32).tobytes() + (h >> np.uint64(32)).astype(np.uint16).tobytes()
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // 5
-    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | (np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
+    n = len(blob) // 6
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) | (np.frombuffer(blob, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+
+
+def rank_of(df: np.ndarray) -> np.ndarray:
+    """A byte that grows with the number of classes: the global order is by it and then by hash, alike for all classes."""
+    return np.floor(7 * np.log2(df)).astype(np.uint8)
 
 
 def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
@@ -103,7 +111,7 @@ def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
     def emit(sets: list[np.ndarray], names: list[bytes]) -> pa.RecordBatch:
         everything = np.concatenate(sets)
         cls = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        seg = (everything >> np.uint64(44)).astype(np.int64) * segments >> 20
+        seg = ((everything >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(seg, kind="stable")
         everything, cls, seg = everything[order], cls[order], seg[order]
         cuts = np.searchsorted(seg, np.arange(segments + 1))
@@ -140,8 +148,7 @@ def fragmented(docs: DataFrame, segments: int, words: int = WORDS) -> DataFrame:
 def shared(held: DataFrame, segments: int) -> DataFrame:
     """Rows (bucket, seg, classes, sizes, counts, hashes, dfs): each class's shingles that other classes have too.
 
-    A row holds many classes, those of a bucket of names. dfs is the number of classes of each shingle, 255 at most: it
-    only orders the shingles.
+    A row holds many classes, those of a bucket of names. dfs is rank_of the number of classes of each shingle.
     """
     names_of = ["bucket", "seg", "classes", "sizes", "counts", "hashes", "dfs"]
 
@@ -159,7 +166,7 @@ def shared(held: DataFrame, segments: int) -> DataFrame:
         new = np.concatenate([[True], h[1:] != h[:-1]])
         df = np.diff(np.append(np.flatnonzero(new), len(h)))[np.cumsum(new) - 1]
         keep = df > 1
-        h, cls, df = h[keep], cls[keep], np.minimum(df[keep], 255).astype(np.uint8)
+        h, cls, df = h[keep], cls[keep], rank_of(df[keep])
         bucket = bucket_of(names, segments)
         order = np.lexsort((cls, bucket[cls]))
         h, cls, df = h[order], cls[order], df[order]
@@ -188,7 +195,7 @@ def survivors_of(met: DataFrame, segments: int, fragments: int = FRAGMENTS) -> D
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(table.column(c).to_pylist() for c in ("seg", "classes", "sizes", "counts", "hashes", "dfs")), strict=True), key=lambda r: r[0])
         classes, sizes, counts, dfs = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((1, f"V{NAME}"), (2, np.int32), (3, np.int32), (5, np.uint8)))
-        h = np.concatenate([unpacked(r[4]) | np.uint64(r[0] << BITS) for r in rows])
+        h = np.concatenate([unpacked(r[4]) | np.uint64((r[0] & 0xFFFF) << BITS) for r in rows])
         frag = np.concatenate([np.full(len(r[5]), r[0] * fragments // segments) for r in rows])
         names, where = np.unique(classes, return_inverse=True)
         m, n = np.bincount(where, counts).astype(np.int64), np.zeros(len(names), np.int64)
@@ -283,7 +290,7 @@ def linked(docs: DataFrame, *, words: int = WORDS, segments: int | None = None,
     rows = stored(sketched(docs, words))
     if segments is None:
         total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-        segments = min(65_536, max(8, -(-total // SEGMENT_SHINGLES)))
+        segments = max(8, -(-total // SEGMENT_SHINGLES))
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     survivors = stored(survivors_of(shared(fragmented(docs, segments, words), segments), segments))
     n_survivors = survivors.count()
@@ -301,11 +308,12 @@ def linked(docs: DataFrame, *, words: int = WORDS, segments: int | None = None,
             best = votes.coalesce(tasks(n_entries)).groupBy("cls", "n").agg(F.max(F.struct("count", "other", "no")).alias("x"))
             pairs = best.select(F.col("cls").alias("a"), F.col("x.other").alias("b"), F.col("n").alias("na"), F.col("x.no").alias("nb"))
         else:
-            side = known.join(open_tokens.select("token"), "token", "left_semi")
-            a, b = (side.select("token", *(F.col(c).alias(c + x) for c in ("cls", "n", "pos", "root"))) for x in "ab")
-            # at the first shingle that a pair shares in the order, what follows bounds their overlap
-            near = (F.col("clsa") < F.col("clsb")) & (F.col("roota") != F.col("rootb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= 4 * (F.col("na") + F.col("nb")))
-            met = a.join(b, "token").where(near)
+            # the shorter text's overlap is at most what follows the shared shingle: 9 (n - pos) >= 4 (n + n') >= 8 n
+            side = known.join(open_tokens.select("token"), "token", "left_semi").withColumn("sized", F.floor(F.log(F.col("n").cast("double")) / math.log(1.26)).cast("int"))
+            short = side.where("9 * pos <= n").select("token", "sized", *(F.col(c).alias(c + "a") for c in ("cls", "n", "pos", "root")))
+            long = side.select("token", F.explode(F.array("sized", F.col("sized") - 1)).alias("sized"), *(F.col(c).alias(c + "b") for c in ("cls", "n", "pos", "root")))
+            near = (F.struct("na", "clsa") < F.struct("nb", "clsb")) & (F.col("roota") != F.col("rootb")) & (F.expr("5 * na >= 4 * nb")) & (9 * F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= 4 * (F.col("na") + F.col("nb")))
+            met = short.join(long, ["token", "sized"]).where(near)
             pairs = met.select(F.col("clsa").alias("a"), F.col("clsb").alias("b"), "na", "nb").distinct()
         pairs = stored(pairs.coalesce(tasks(n_entries)))
         n_pairs = pairs.count()

@@ -45,7 +45,7 @@ def targets(sizes: DataFrame, *, share: float = 1.5, most: int = 2, weights: tup
 
 def laid_out(docs: DataFrame) -> DataFrame:
     """Adds `start`: where the document's tokens begin in its source's stream, in hash order."""
-    key = F.xxhash64("doc_id", F.lit("mix"))
+    key = F.xxhash64("doc_id", "_text", F.lit("mix"))
     placed = docs.withColumns({"_key": key, "_chunk": F.pmod(key, F.lit(CHUNKS))})
     sums = placed.groupBy("source", "_chunk").agg(F.sum("size").alias("_sum"))
     ahead = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -100,8 +100,10 @@ def mix(docs: DataFrame, *, share: float = 1.5, most: int = 2, weights: tuple[fl
     """Returns doc_id, source, size, source_size, target and taken (the tokens that the mix takes, repeats counted).
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own, ranked last. Repeated
-    rows are documents of their own. Reruns agree: the order is by hashes of doc_id, then doc_id and text. Other
-    columns of the input are not looked at.
+    rows are documents of their own, and so are rows without a doc_id. Reruns agree: the order is by hashes of doc_id and
+    text, then doc_id; rows equal in both may change places, which changes nothing but which of them is taken. An empty
+    table gives an empty table. Other columns of the input are not looked at. Windows over the table of sources are one
+    task's work: it has a row a source.
     """
     text = whole()
     sized = stored(docs.select("doc_id", "source", n_words(text).alias("size"), F.xxhash64(text).alias("_text")))

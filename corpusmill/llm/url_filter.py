@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered
+from .common import lowered, private
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 MAX_SAMPLE = 20_000
@@ -24,24 +24,22 @@ FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ra
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host and path of a URL; both empty for null or where `://` is missing."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise("")
+    rest = F.coalesce(F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))), F.lit(""))
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
     return lowered(host), path
 
 
-def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """Adds host, path and the longest fitting rule (null without one) with what it says."""
-    url = F.coalesce(F.col("url"), F.lit(""))
-    out = pages.withColumn("_url", url)
-    host, path = host_and_path(F.col("_url"))
-    out = out.withColumns({"host": host, "path": path}).drop("_url")
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, says_in: str = "said") -> DataFrame:
+    """Adds host, path and the longest fitting rule (null without one), with what it says in column says_in."""
+    host, path = host_and_path(F.col("url"))
+    out = pages.withColumns({"host": host, "path": path})
     said, rule = F.lit(None).cast("string"), F.lit(None).cast("string")
     for says, name in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         site, _, start = name.partition("/")
         fits = ((F.col("host") == site) | F.col("host").endswith("." + site)) & F.col("path").startswith("/" + start)
         said, rule = F.when(fits, says).otherwise(said), F.when(fits, name).otherwise(rule)
-    return out.withColumns({"rule": rule, "said": said})
+    return out.withColumns({"rule": rule, says_in: said})
 
 
 def entropy(text: str) -> float:
@@ -128,9 +126,13 @@ def boost(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rat
     return model
 
 
-def train(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[Trees, dict[str, float]]:
-    """Trees and the block rate of each suffix, from at most about max_sample labelled rows, drawn by the URL's hash."""
-    known = labelled.where(F.col("said").isNotNull())
+def train(labelled: DataFrame, max_sample: int = MAX_SAMPLE, says_in: str = "said") -> tuple[Trees, dict[str, float]]:
+    """Trees and the block rate of each suffix, from at most about max_sample labelled rows, drawn by the URL's hash.
+
+    A row that the trees are fitted on has its own label left out of its suffix's rate. Without labelled rows (an empty
+    table, or no rule that fits) the trees answer 0.5.
+    """
+    known = labelled.select("url", "page_id", "host", "path", F.col(says_in).alias("said")).where("said is not null")
     n = known.count()
     share = 1_000_000 if n <= max_sample else int(1_000_000 * max_sample / n)
     drawn = known.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1_000_000)) < share).select("url", "host", "path", "said").collect()
@@ -141,8 +143,11 @@ def train(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> tuple[Trees, dic
         by.setdefault(r[1].rpartition(".")[2], []).append(v)
     base = float(y.mean()) if len(y) else 0.5
     # the mean of a suffix is drawn towards that of all, by 20 rows
-    suffixes = {k: (sum(v) + 20 * base) / (len(v) + 20) for k, v in sorted(by.items(), key=lambda kv: (-len(kv[1]), kv[0]))[:1000]} | {"": base}
+    suffixes = {k: (sum(v) + 20 * base) / (len(v) + 20) for k, v in sorted(by.items())} | {"": base}
     x = np.array([lexical(u, h, p, suffixes) for u, h, p, _ in rows]).reshape(-1, len(FEATURES))
+    for row, r, v in zip(x, rows, y, strict=True):
+        n = len(by[r[1].rpartition(".")[2]])
+        row[FEATURES.index("suffix_block_rate")] += (row[FEATURES.index("suffix_block_rate")] - v) / (n + 19)
     return boost(x, y), suffixes
 
 
@@ -153,9 +158,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, max_s
     Without any page that a rule labels, the trees answer 0.5 for block, and block wins ties. Repeated rows are judged
     alike; columns of the input stay, except those named like an output.
     """
-    marked = ruled(pages, rules)
-    model, suffixes = train(marked, max_sample)
-    keep = [c for c in marked.columns if c != "block_score"]
+    said = private(pages, "said")
+    marked = ruled(pages, rules, said)
+    model, suffixes = train(marked, max_sample, said)
+    keep = [c for c in marked.columns if c.lower() not in ("block_score", "verdict")]
     schema = marked.select(*keep).schema.add("block_score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,4 +172,4 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, *, max_s
 
     scored = marked.select(*keep).mapInArrow(score, schema)
     learned = F.when(F.col("block_score") >= threshold, "block").otherwise("allow")
-    return scored.withColumn("verdict", F.coalesce("said", learned)).drop("said")
+    return scored.withColumn("verdict", F.coalesce(F.col(said), learned)).drop(said)

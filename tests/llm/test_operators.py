@@ -267,6 +267,39 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def test_clashing_names(spark):
+    """Input columns named like outputs, or like names used in between, in any case, are replaced or stay."""
+    names = ["Lang_Pred", "SCORE", "Items", "hits", "Spans", "said", "_url", "cands", "candidates", "_scored", "found", "counted", "_w", "_l", "Block_Score", "VERDICT", "base", "Secrets", "N_words", "posterior", "kept"]
+    frame = spark.createDataFrame([(1, "the cat a@b.co sat", "http://a.net/x"), (2, None, None)], "doc_id long, text string, url string").withColumn("page_id", F.col("doc_id"))
+    for n in names:
+        frame = frame.withColumn(n, F.lit("clash"))
+    bench = spark.createDataFrame([(1, "the cat")], "item_id int, text string")
+    made = {
+        "language_id": (language_id.identify(frame, language_id.Model({"en": "the cat"})), {"lang_pred", "score"}), "crf": (crf_quality.score(frame, crf_quality.fit([], [])), {"score"}),
+        "decontaminate": (decontaminate.scan(frame, bench), {"n_words", "items", "hits"}), "pii": (pii.detect(frame), {"spans"}), "secrets": (secrets.scan(frame), {"base", "secrets"}),
+        "url": (url_filter.judge(frame), {"block_score", "verdict"}), "rules": (quality_rules.judge(frame), {"n_words", "posterior", "kept"}),
+    }
+    for name, (out, outputs) in made.items():
+        assert out.count() == 2, name
+        rows = out.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), *outputs).collect()
+        for i, n in enumerate(names):
+            assert n.lower() in outputs or all(r[f"c{i}"] == "clash" for r in rows), (name, n)
+
+
+def test_urls_on_held_out_rows(spark):
+    """The trees learn what rules that aren't shown to them say of other URLs."""
+    rnd = random.Random(7)
+    url = lambda: "http://" + "".join(rnd.choice("abcdef") for _ in range(6)) + (rnd.choice((".net/x", ".example.com/de/a")) if (bad := rnd.random() < 0.5) else rnd.choice((".org/fr/b", ".example.net/en/c"))) + ("?" + "&".join(f"k{rnd.randrange(99)}={rnd.randrange(10**9)}" for _ in range(4)) if bad else "")
+    frame = spark.createDataFrame([(i, url()) for i in range(600)], "page_id int, url string")
+    marked = url_filter.ruled(frame)
+    model, suffixes = url_filter.train(marked.where("page_id % 2 = 0"))
+    held = marked.where("page_id % 2 = 1").collect()
+    import numpy as np
+
+    p = model.predict(np.array([url_filter.lexical(r.url, r.host, r.path, suffixes) for r in held]))
+    assert np.mean([(x >= 0.5) == (r.said == "block") for x, r in zip(p, held, strict=True)]) > 0.95
+
+
 def test_trees_learn():
     import numpy as np
 
@@ -306,6 +339,24 @@ def test_jaccard_components(rows, docs, empty, star_rounds):
     assert jaccard_join.linked(empty, segments=8).count() == 0
 
 
+def test_jaccard_of_a_shared_template(spark, monkeypatch):
+    """Texts that share four fifths of a template without linking make no candidates; links among others are all found."""
+    rnd = random.Random(13)
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    template, other = [word() for _ in range(170)], [word() for _ in range(90)]
+    texts = [" ".join(template + [word() for _ in range(36)]) for _ in range(300)]
+    for i in range(60):  # chains: neighbours link, far ones don't
+        other[i % 90] = word()
+        texts.append(" ".join(other))
+    rows = list(enumerate(texts))
+    met = []
+    real = jaccard_join.similar
+    monkeypatch.setattr(jaccard_join, "similar", lambda pairs, parts: met.append(pairs.count()) or real(pairs, parts))
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), segments=8, star_rounds=0)
+    assert found(got, "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert sum(met) < 60 * 60
+
+
 def test_quality_classifier(spark, docs, empty):
     rnd = random.Random(3)
     good = lambda: "\n".join(" ".join(rnd.choice(("the", "cat", "sat", "down", "here")) for _ in range(12)) + "." for _ in range(4))

@@ -36,3 +36,21 @@ def test_stages(spark):
         if name != "source_mixing":
             assert docs.columns == columns
     assert P.run(spark, SF).count() == docs.count()
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls in every column, repeated rows, shared and missing doc_ids, empty tables, columns of other names."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (1, "quite another text", "en", "a", 5), (None, text, None, None, None), (None, "no id here", "en", None, 1), (None, "no id here", "en", None, 1), (2, None, "en", "a", 1), (3, "", "en", "a", 1), (4, " 123 ", "en", "b", 1), (5, text + " more", "en", "b", 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    kept = P.drop_near_copies(spark, docs, SF).collect()
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, [rows[0], rows[2], rows[4], *rows[6:9]]))
+    assert sorted(str(r.text) for r in P.identify_language(spark, docs, SF).collect()) == sorted(str(r[1]) for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert P.drop_contaminated(spark, docs, SF).count() == P.mask_personal_data(spark, docs, SF).count() == len(rows)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in P.mask_personal_data(spark, docs, SF).collect())
+    assert all(r.taken > 0 for r in P.mix_sources(spark, docs, SF).collect())
+    none, extra = spark.createDataFrame([], schema), docs.selectExpr("*", "'x' as score", "'y' as Spans", "'z' as N_Words", "'k' as key")
+    for _, stage in P.STAGES:
+        assert stage(spark, none, SF).count() == 0
+        assert stage(spark, extra, SF).count() == stage(spark, docs, SF).count()
