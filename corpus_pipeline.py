@@ -9,35 +9,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, jaccard_join, language_id, mixing, pii, spans
-from corpusmill.llm.common import table, whole, written
+from corpusmill.llm.common import removed, table, whole, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose language can't be told: those without a letter. Learns from the given `lang`s."""
+    """Drops the documents whose language can't be told: null, empty and letterless texts. Learns from the given `lang`s.
+
+    Repeated rows all stay. If no row has a `lang`, no language is known and every document goes. An empty table gives
+    an empty table.
+    """
     model = language_id.train(docs)
     return language_id.identify(docs, model).where("lang_pred != 'und'").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies: the one with the smallest doc_id.
+    """Keeps one row of each component of near copies: the least by doc_id (null last), then by a hash of the row.
 
-    Of rows that repeat a doc_id the first stays, by text and then by the other columns; rows without one all stay.
+    Rows are told apart by all their columns, so those that share a doc_id, or lack one, are grouped by their texts like
+    others. Of equal rows one stays; so do all different rows without a word, which link with nothing. An empty table
+    gives an empty table.
     """
-    chosen = jaccard_join.linked(docs).where("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    once = docs.join(chosen, "doc_id").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return once.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row"))
+    rows = docs.select(own.alias("key"), *COLUMNS)
+    linked = jaccard_join.linked(rows.select(F.col("key").alias("doc_id"), "text"))
+    chosen = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
+    once = rows.join(chosen, F.col("key").eqNullSafe(F.col("first"))).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    return once.where("n = 1").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item. Null and empty texts hold none and stay, as do repeated rows."""
     return decontaminate.scan(docs, table(spark, sf_dir, "benchmark", "item_id", "text")).where("not contaminated").select(*COLUMNS)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind's name in brackets in place of each span of personal data; all documents stay."""
+    """Puts the kind's name in brackets in place of each span of personal data; all documents stay.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike. An empty table gives an empty table.
+    """
     found = pii.detect(docs)
     masked = spans.replaced(whole(), F.col("spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
     out = found.withColumn("text", F.when(F.col("text").isNotNull(), masked))
@@ -45,7 +56,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the tokens that it takes of each, repeats counted."""
+    """The documents that the mix takes, with the tokens that it takes of each, repeats counted.
+
+    Texts without a word are never taken; repeated rows are documents of their own. An empty table gives an empty table.
+    """
     return mixing.mix(docs).where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
@@ -62,8 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to `documents`; each one's rows are written as Parquet and read again for the next."""
+    """Applies the stages to `documents`; each one's rows are written as Parquet and read again for the next.
+
+    What a stage read is deleted once its own rows are written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        removed(before)
     return STAGES[-1][1](spark, docs, sf_dir)
