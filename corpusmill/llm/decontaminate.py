@@ -8,6 +8,8 @@ bucket of windows, and comparing all words confirms an occurrence. Words are num
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,14 +64,14 @@ class Windows:
         """Where the blocks that begin at the starts stand in the shift table; blocks that clash share the least shift."""
         return (hashed(numbers, starts, self.block) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def search(self, numbers: np.ndarray, hits: list[tuple[int, int]], items: set[int]) -> None:
-        """Adds the word ranges of all occurrences, in order, and their items."""
-        n, length = len(numbers), self.length
+    def search(self, numbers: np.ndarray) -> list[tuple[int, list[int]]]:
+        """Where occurrences begin, in order, and the items of each."""
+        n, length, out = len(numbers), self.length, []
         if n < length or not len(self.keys):
-            return
+            return out
         shifts = self.shift[self.place(numbers, np.arange(length - self.block, n - self.block + 1))]
         if shifts.all():
-            return
+            return out
         skip, at, found = shifts.tobytes(), 0, []
         while at < len(skip):
             if skip[at]:
@@ -84,8 +86,8 @@ class Windows:
             rows = np.arange(low[k], high[k])
             equal = (self.numbers[self.starts[rows].astype(np.int64)[:, None] + np.arange(length)] == numbers[begins[k] : begins[k] + length]).all(axis=1)
             if equal.any():
-                items.update(self.items[rows[equal]].tolist())
-                hits.append((int(begins[k]), int(begins[k]) + length))
+                out.append((int(begins[k]), self.items[rows[equal]].tolist()))
+        return out
 
 
 class Searcher:
@@ -108,14 +110,40 @@ class Searcher:
         numbers = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         self.tables = [Windows(k, numbers, *(np.concatenate([x[i] for x in by[k]]) for i in (0, 1))) for k in sorted(by)]
 
-    def search(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
-        """Number of words, ranges of words that are hit, and items with an occurring window."""
-        get = self.number.get
-        words = [get(w, 0) for w in split_words(text)]
-        numbers, hits, items = np.array(words, np.uint32), [], set()
+    def search(self, texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+        """For each text: number of words, ranges of words that are hit, and items with an occurring window.
+
+        The texts are searched as one, with a number that no window holds between them.
+        """
+        get, parts = self.number.get, []
+        for text in texts:
+            words = split_words(text)
+            numbers = np.zeros(len(words) + 1, np.uint32)
+            numbers[:-1] = [get(w, 0) for w in words]
+            parts.append(numbers)
+        ends = np.cumsum([len(p) for p in parts])
+        out: list = [(len(p) - 1, [], set()) for p in parts]
+        together = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         for table in self.tables:
-            table.search(numbers, hits, items)
-        return len(words), hits, {self.names[i] for i in items}
+            for begin, items in table.search(together):
+                k = int(np.searchsorted(ends, begin, "right"))
+                at = begin - int(ends[k]) + len(parts[k])
+                out[k][1].append((at, at + table.length))
+                out[k][2].update(self.names[i] for i in items)
+        return out
+
+
+def some_at_a_time(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str | None]]:
+    """The texts in groups of a bounded number of characters, a longer text alone."""
+    held, n = [], 0
+    for text in texts:
+        if held and n + len(text or "") > chars:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text or "")
+    if held:
+        yield held
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,8 +183,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, pass_by
         def fill(batch: pa.RecordBatch, sent=sent, first: bool = not k) -> list[list]:  # noqa: ANN001
             before = [None] * batch.num_rows if first else batch.column(held).to_pylist()
             rows = []
-            for text, had in zip(batch.column("text"), before, strict=True):
-                n, hits, items = sent.value.search(text.as_py())
+            texts = batch.column("text").to_pylist()
+            for (n, hits, items), had in zip((x for some in some_at_a_time(texts) for x in sent.value.search(some)), before, strict=True):
                 if had:
                     items |= set(had["items"])
                     hits += [(s["start"], s["end"]) for s in had["hits"]]
