@@ -186,7 +186,7 @@ def consensus_lists(records: DataFrame, key: str, coder: str, values: str) -> Da
     """Rows (key, values): what all coders of a key list, in the order of the first coder's list."""
     order = F.sort_array(F.collect_list(F.struct(coder, values)))
     grouped = records.groupBy(key).agg(order.alias("_all"))
-    shared = F.aggregate(F.slice("_all", 2, 1_000_000), F.col("_all")[0][values], lambda acc, x: F.array_intersect(acc, x[values]))
+    shared = F.aggregate(F.slice("_all", 2, F.size("_all")), F.col("_all")[0][values], lambda acc, x: F.array_intersect(acc, x[values]))
     return grouped.select(key, shared.alias(values))
 
 

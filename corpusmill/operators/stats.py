@@ -90,7 +90,8 @@ def dunn(rows: DataFrame, group: str, value: str) -> DataFrame:
     n = F.col("total").cast("double")
     se = F.sqrt((n * (n + 1) / 12 - F.col("tie_sum") / (12 * (n - 1))) * (1 / F.col("na") + 1 / F.col("nb")))
     pairs = a.join(b, F.col("a") < F.col("b")).crossJoin(totals).withColumn("z", F.when(se == 0, 0.0).otherwise((F.col("ra") / F.col("na") - F.col("rb") / F.col("nb")) / se))
-    return holm(pairs.withColumn("p", two_sided(F.col("z"))).select("a", "b", "z", "p"), "p", ["a", "b"])
+    tested = holm(pairs.withColumn("p", two_sided(F.col("z"))).select("a", "b", "z", "p"), "p", ["a", "b"])
+    return tested.join(cliffs_delta(rows, group, value), ["a", "b"])
 
 
 def erfc(x: Column) -> Column:

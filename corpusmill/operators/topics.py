@@ -19,7 +19,7 @@ def terms(docs: DataFrame, text: str) -> DataFrame:
     """Adds terms: words and pairs of words of the cleaned, folded text; documents of too few words go."""
     words = F.filter(F.split(F.lower(fold(clean_document(F.col(text)))), r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
     made = docs.withColumn("_w", words).where(F.size("_w") >= MIN_WORDS)
-    pairs = F.zip_with("_w", F.slice("_w", 2, 1_000_000), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with("_w", F.slice("_w", 2, F.size("_w")), lambda a, b: F.concat_ws(" ", a, b))
     return made.withColumn("terms", F.concat("_w", F.filter(pairs, lambda p: F.contains(p, F.lit(" "))))).drop("_w")
 
 

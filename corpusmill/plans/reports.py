@@ -101,9 +101,9 @@ def policy_gate(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def ols_fit(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Least squares of price on quantity and discount, by normal equations."""
+    """Least squares of price on quantity and discount, by normal equations, with HC3 errors."""
     fitted = S.ols(frame(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount"])
-    return spark.createDataFrame([(k, float(round(b, 2))) for k, (b, _) in fitted.items() if k == "l_quantity"], "name string, coefficient double")
+    return spark.createDataFrame([(k, round(b, 2), round(e, 2)) for k, (b, e) in fitted.items()], "name string, coefficient double, error double")
 
 
 _ALL = (methods_table, pain, catalog_origin, merged_manifests, distinct_discards, missed_tools, truncation_counts, local_filter, age_months, fetch_targets, final_decisions, units_from_codings, resolved_records, exclusion_reasons, language_combinations, terms_without_hits, policy_gate, ols_fit)
@@ -127,5 +127,11 @@ ORACLES = {
     "language_combinations": "with s as (select source, string_agg(distinct lang, '+' order by lang) as languages from documents group by 1) select languages, count(*) as items from s group by 1",
     "terms_without_hits": "select term from (values ('user'), ('assistant'), ('nobody')) t(term) where term not in (select role from conversations)",
     "policy_gate": "select distinct source from documents where source >= 'src15'",
-    "ols_fit": "with r as (select l_extendedprice as y, l_quantity as a, l_discount as b from lineitem), m as (select covar_pop(y, a) as ya, covar_pop(y, b) as yb, covar_pop(a, b) as ab, var_pop(a) as aa, var_pop(b) as bb from r) select 'l_quantity' as name, round((ya * bb - yb * ab) / (aa * bb - ab * ab), 2) as coefficient from m",
+    "ols_fit": """with r as (select l_extendedprice::double as y, l_quantity::double as a, l_discount::double as b from lineitem),
+ m as (select count(*)::double as n, avg(y) as my, avg(a) as ma, avg(b) as mb, count(*) * var_pop(a) as saa, count(*) * var_pop(b) as sbb, count(*) * covar_pop(a, b) as sab from r),
+ w as (select y - my as dy, a - ma as da, b - mb as db, ((a - ma) * sbb - (b - mb) * sab) / (saa * sbb - sab * sab) as w1, ((b - mb) * saa - (a - ma) * sab) / (saa * sbb - sab * sab) as w2, n, my, ma, mb from r cross join m),
+ c as (select sum(w1 * dy) as b1, sum(w2 * dy) as b2, any_value(my) - sum(w1 * dy) * any_value(ma) - sum(w2 * dy) * any_value(mb) as b0 from w),
+ u as (select pow((dy - b1 * da - b2 * db) / (1 - 1 / n - da * w1 - db * w2), 2) as r2, 1 / n - ma * w1 - mb * w2 as w0, w1, w2, b0, b1, b2 from w cross join c),
+ e as (select any_value(b0) as b0, any_value(b1) as b1, any_value(b2) as b2, sqrt(sum(r2 * w0 * w0)) as e0, sqrt(sum(r2 * w1 * w1)) as e1, sqrt(sum(r2 * w2 * w2)) as e2 from u)
+select unnest(['intercept', 'l_quantity', 'l_discount']) as name, unnest([round(b0, 2), round(b1, 2), round(b2, 2)]) as coefficient, unnest([round(e0, 2), round(e1, 2), round(e2, 2)]) as error from e""",
 }

@@ -92,7 +92,7 @@ def kruskal_wallis(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def dunn_holm(spark, sf_dir):  # noqa: ANN001, ANN201
     made = S.dunn(frame(spark, sf_dir, "fx_engagement"), "tool", "value")
-    return rounded(made.select("a", "b", "z"), "z")
+    return rounded(made, "z", "p", "p_holm", "delta")
 
 
 def holm_adjusted(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -217,7 +217,12 @@ ORACLES = {
     "midrank_engagement": oracle("fx_engagement", MID + " select id, round(percentile, 6) as percentile, round(weighted_percentile, 6) as weighted_percentile from p"),
     "entity_engagement": oracle("fx_engagement", MID + " select tool, count(*) as n, round(avg(percentile), 6) as mean, round(quantile_cont(percentile, 0.5), 6) as median, round(avg(is_floor::int), 6) as share_floor, round(avg((percentile >= 1 - 0.1)::int), 6) as share_top, round(sum(weight * weighted_percentile) / sum(weight), 6) as mean_weighted from p group by 1"),
     "kruskal_wallis": oracle("fx_engagement", RANKS + ", h as (select (count(*) - 1) as df, (12 / (any_value(tt.n) * (any_value(tt.n) + 1)) * sum(rs * rs / g.n) - 3 * (any_value(tt.n) + 1)) / (1 - any_value(ties) / (any_value(tt.n) * any_value(tt.n) * any_value(tt.n) - any_value(tt.n))) as h, any_value(tt.n) as n from g cross join tt) select df, round(h, 6) as h, round(h / (n - 1), 6) as epsilon2 from h"),
-    "dunn_holm": oracle("fx_engagement", RANKS + " select x.tool as a, y.tool as b, round((x.rs / x.n - y.rs / y.n) / sqrt((tt.n * (tt.n + 1) / 12 - ties / (12 * (tt.n - 1))) * (1.0 / x.n + 1.0 / y.n)), 6) as z from g x join g y on x.tool < y.tool cross join tt"),
+    "dunn_holm": oracle("fx_engagement", RANKS + """, zs as (select x.tool as a, y.tool as b, (x.rs / x.n - y.rs / y.n) / sqrt((tt.n * (tt.n + 1) / 12 - ties / (12 * (tt.n - 1))) * (1.0 / x.n + 1.0 / y.n)) as z from g x join g y on x.tool < y.tool cross join tt),
+ ts as (select *, abs(z) / sqrt(2) as q, 1 / (1 + 0.5 * abs(z) / sqrt(2)) as t from zs),
+ ps as (select a, b, z, t * exp(-q * q - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277))))))))) as p from ts),
+ hs as (select *, least(1.0, (count(*) over () - row_number() over (order by p, a, b) + 1) * p) as s from ps),
+ c as (select tool, value, count(*) as n from fx_engagement group by 1, 2), t as (select tool, sum(n) as n from c group by 1), u as (select x.tool as a, y.tool as b, sum(x.n * y.n * sign(x.value - y.value)) as d from c x join c y on x.tool < y.tool group by 1, 2)
+ select a, b, round(z, 6) as z, round(p, 6) as p, round(max(s) over (order by p, a, b rows unbounded preceding), 6) as p_holm, round(d::double / (ta.n * tb.n), 6) as delta from hs join u using (a, b) join t ta on ta.tool = a join t tb on tb.tool = b"""),
     "holm_adjusted": "with t as (select p_type, count(*) / 10000.0::double as p from part group by 1), s as (select *, least(1.0::double, (count(*) over () - row_number() over (order by p, p_type) + 1) * p) as s, row_number() over (order by p, p_type) as k from t) select p_type, round(p, 6) as p, round(max(s) over (order by k), 6) as p_holm from s",
     "cliffs_delta": oracle("fx_engagement", ", c as (select tool, value, count(*) as n from fx_engagement group by 1, 2), t as (select tool, sum(n) as n from c group by 1), u as (select x.tool as a, y.tool as b, sum(x.n * y.n * sign(x.value - y.value)) as d from c x join c y on x.tool < y.tool group by 1, 2) select a, b, round(d::double / (ta.n * tb.n), 6) as delta from u join t ta on ta.tool = a join t tb on tb.tool = b"),
     "kendall_tau": oracle("fx_detections", LEVELS + ", p as (select sign(x.n1 - y.n1) as a, sign(x.n3 - y.n3) as b from lv x join lv y on x.entry_id < y.entry_id), s as (select count(*) filter (where a * b > 0) as concordant, count(*) filter (where a * b < 0) as discordant, count(*)::double as n0, count(*) filter (where a = 0) as t1, count(*) filter (where b = 0) as t2 from p) select concordant, discordant, round((concordant - discordant) / sqrt((n0 - t1) * (n0 - t2)), 6) as tau from s"),
