@@ -34,8 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64(*COLUMNS).alias("row"))
     rows = docs.select(own.alias("key"), *COLUMNS)
     linked = jaccard_join.linked(rows.select(F.col("key").alias("doc_id"), "text"))
-    chosen = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first")).distinct()
-    once = rows.join(chosen, F.col("key").eqNullSafe(F.col("first"))).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    # keys are never null, so plain equality finds them, and the join deals them as the window wants them
+    chosen = linked.where("doc_id = component_id").select(F.col("doc_id").alias("first")).distinct()
+    once = rows.join(chosen, F.col("key") == F.col("first")).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
     return once.where("n = 1").select(*COLUMNS)
 
 
