@@ -65,10 +65,9 @@ def html_titles(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def gold_recall(spark, sf_dir):  # noqa: ANN001, ANN201
-    """Every tenth page against the pages with an even id, by canonical URL, by top-level domain."""
-    pages = frame(spark, sf_dir, "pages").select("page_id", X.canonical_url(F.col("url")).alias("canonical_url"), F.lit(None).cast("string").alias("repo"))
-    gold, items = pages.where("page_id % 10 = 1"), pages.where("page_id % 2 = 0")
-    return R.recall(gold, items, F.regexp_extract("canonical_url", r"\.([a-z]+)/", 1))
+    """All customers' pages against those that orders link to, by repository or canonical URL, by host."""
+    gold, items = (frame(spark, sf_dir, v).withColumn("canonical_url", X.canonical_url(F.col("url"))) for v in ("fx_customer_urls", "fx_order_urls"))
+    return R.recall(gold, items.where("canonical_url is not null or repo is not null"), F.regexp_extract("canonical_url", "://([^/]+)/", 1))
 
 
 def source_policies(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -90,8 +89,9 @@ def replay_source(spark, sf_dir):  # noqa: ANN001, ANN201
 
 
 def insert_ignore(spark, sf_dir):  # noqa: ANN001, ANN201
-    turns = frame(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    return C.insert_ignore(turns.where("conv_id % 2 = 0"), turns, "conv_id", "turn")
+    """All documents by the hash of their text, those of labelled ones being there before."""
+    docs = frame(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("body_hash"), "doc_id", "source")
+    return C.insert_ignore(docs.join(frame(spark, sf_dir, "labels").select("doc_id"), "doc_id"), docs, "body_hash", "doc_id")
 
 
 def flat_csv_rows(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -144,19 +144,16 @@ def topic_clusters(spark, sf_dir):  # noqa: ANN001, ANN201
 _ALL = (extract_detections, manifest_dependencies, workflow_commands, html_titles, gold_recall, source_policies, normalize_raw, replay_source, insert_ignore, flat_csv_rows, window_counts, user_sessions, late_rows, stream_latest, stream_first_seen, topic_clusters)
 QUERIES = {f.__name__: f for f in _ALL}
 
-PAGE = """'https://' || regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '')
- || case when rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') = '' then '/' else rtrim(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') end
- || case when regexp_extract(url, '[?&](page=[^&#]*)', 1) = '' then '' else '?' || regexp_extract(url, '[?&](page=[^&#]*)', 1) end"""
 POLICY_ROWS = ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in (p[0], p[1], p[4], p[6], p[9])) + ")" for p in C.POLICIES)
 
 ORACLES = {
     "manifest_dependencies": "select distinct source || '/r' as repo, v.* from documents cross join (values ('requirements.txt', 'ther', 'ther>=1.0', false), ('requirements.txt', 'other', 'other==2', false), ('pyproject.toml', 'tion-lib', 'tion-lib[all]>=0.2', false), ('pyproject.toml', 'mine', '', true)) v(path, name, line, own)",
     "workflow_commands": "select distinct source || '/r' as repo, v.* from documents cross join (values (0, 'run', 'pip install -U ther', 'ther'), (1, 'run', 'ther run all', ''), (2, 'uses', 'actions/checkout@v4', '')) v(seq, kind, line, packages)",
-    "gold_recall": f"with p as (select page_id, {PAGE} as u from pages), i as (select distinct u from p where page_id % 2 = 0) select regexp_extract(p.u, '\\.([a-z]+)/', 1) as host, count(*) filter (where i.u is not null) as retrieved, count(*) as total from p left join i using (u) where page_id % 10 = 1 group by 1",
+    "gold_recall": "with r as (select distinct o_custkey from orders where o_orderstatus = 'F' or o_orderpriority = '1-URGENT') select 'n' || c_nationkey || '.example.org' as host, count(o_custkey) as retrieved, count(*) as total from customer left join r on o_custkey = c_custkey group by 1",
     "source_policies": f"select * from (values {POLICY_ROWS}) p(source, requests, page_size, total_cap, redistribution)",
     "normalize_raw": "select substr(sha256('hackernews:' || conv_id || '-' || turn), 1, 16) as id, sha256(text) as body_hash, role as author, turn as votes, conv_id + 1700000000 as created from conversations",
     "replay_source": "select 'devto' as source, (10 * i + j)::varchar as native_id, i * 100000 + j as seq from range(4) a(i) cross join range(3) b(j)",
-    "insert_ignore": "select conv_id, min(turn) as turn, arg_min(role, turn) as role from conversations where conv_id % 2 = 1 group by 1",
+    "insert_ignore": "with d as (select sha256(text) as body_hash, doc_id, source from documents), e as (select body_hash from d semi join labels using (doc_id)) select body_hash, min(doc_id) as doc_id, arg_min(source, doc_id) as source from d where not exists (select 1 from e where e.body_hash = d.body_hash) group by 1",
     "flat_csv_rows": "with c as (select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2) select o_orderpriority, string_agg(o_orderstatus || '=' || n, '; ' order by o_orderstatus) as by_status, string_agg(o_orderstatus, ', ' order by o_orderstatus) as statuses, '' as note from c group by 1",
     "window_counts": "select time_bucket(interval '6 hours', ts, timestamp '2000-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as value from events group by 1, 2",
     "user_sessions": "with l as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '12 hours' then 0 else 1 end as s from events), c as (select user_id, sum(s) over (partition by user_id order by ts rows unbounded preceding) as k from l), n as (select user_id, k, count(*) as n from c group by 1, 2) select user_id, count(*) as sessions, max(n) as longest from n group by 1",

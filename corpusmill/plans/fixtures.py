@@ -19,6 +19,13 @@ VIEWS = {
     "fx_query": "select o_orderpriority as source, o_orderstatus as family, year(o_orderdate) as yr, count(*) as items, count(*) filter (where o_totalprice < 50000) as discarded, cast(floor(sum(cast(o_totalprice as decimal(18,2)))/10000) as bigint) as available, count(*) % 3 <> 0 as cut_short from orders group by o_orderpriority, o_orderstatus, year(o_orderdate)",
     "fx_engagement": "select event_id as id, event_type as source, case when user_id % 2 = 0 then 'even' else 'odd' end as kind, cast(floor(value) as bigint) as value, ts as created_at, user_id % 7 as tool from events",
     "fx_coders": "select doc_id as item_id, 'ana' as coder, quality as value from labels union all select doc_id, 'bia', toxic from labels",
+    "fx_run_items": "select 'lang-'||coalesce(lang, 'none') as run, cast(doc_id as {str}) as id, doc_id as seq, source, case source when 'src1' then 'code' else 'article' end as kind, 'https://'||source||'.example.org/'||doc_id as url, cast(null as {str}) as title, text as body from documents union all select 'source-'||source, cast(doc_id as {str}), doc_id, source, case source when 'src1' then 'code' else 'article' end, 'https://'||source||'.example.org/'||doc_id, cast(null as {str}), text from documents",
+    "fx_run_detections": "select 'run-'||lower(l_returnflag) as run, cast(l_suppkey as {str}) as item_id, 'e'||l_linenumber as entry_id, l_linestatus as signal, cast(year(l_shipdate) as {str}) as location, 'N'||(l_partkey % 3 + 1) as level, l_orderkey * 10 + l_linenumber as seq from lineitem",
+    "fx_unit_items": "select cast(o_orderkey as {str}) as item_id, o_orderkey as seq, case when o_orderpriority <> '5-LOW' then 'c/'||o_custkey end as repo, case o_orderpriority when '1-URGENT' then 'Import urgent' when '2-HIGH' then 'x repo:Acme/Brand' when '3-MEDIUM' then 'path:.github/workflows MEDIUM' when '4-NOT SPECIFIED' then 'path:x/Fran.yaml' end as query from orders",
+    "fx_unit_detections": "select l_orderkey * 10 + l_linenumber as seq, case l_returnflag when 'R' then 'gone' else cast(l_orderkey as {str}) end as item_id, case when l_linestatus = 'F' then 'c/'||l_suppkey end as repo, lower(p_brand) as entry_id, case when p_size < 25 then 'tool' else 'method' end as entry_type, 'N'||(l_linenumber % 3 + 1) as level, case when l_linenumber = 1 then 'text' else 'ci' end as signal, p_type as evidence from lineitem join part on p_partkey = l_partkey",
+    "fx_answers": "select event_id, case event_type when 'click' then 429 when 'view' then 403 else 500 end as status, cast(user_id % 7 as int) as attempt, cast(1000 as double) as now, case when event_id % 3 = 0 then cast(value as double) end as retry_after, cast(event_id % 2 as int) as remaining, case when event_id % 5 < 3 then cast(900 + user_id * 40 as double) end as reset_at from events",
+    "fx_customer_urls": "select c_custkey as seq, 'https://n'||c_nationkey||'.example.org/c/'||c_custkey||'?utm_source=x' as url, 'shop/'||c_custkey as repo from customer",
+    "fx_order_urls": "select o_orderkey as seq, case when o_orderstatus = 'F' then 'http://www.n'||c_nationkey||'.example.org/c/'||c_custkey||'/' end as url, case when o_orderpriority = '1-URGENT' then 'shop/'||c_custkey end as repo from orders join customer on c_custkey = o_custkey",
 }
 
 

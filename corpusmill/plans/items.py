@@ -164,9 +164,9 @@ def _flag(c: str) -> str:
 
 
 def new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """URLs of the second half of the pages that the first half had, and new ones, by canonical URL."""
-    pages = frame(spark, sf_dir, "pages").withColumn("key", X.canonical_url(F.col("url")))
-    fresh, seen = D.unseen(pages.where("page_id % 2 = 1"), pages.where("page_id % 2 = 0"), "key")
+    """Customers' pages that orders have linked to, and new ones, by canonical URL."""
+    pages, earlier = (frame(spark, sf_dir, v).withColumn("key", X.canonical_url(F.col("url"))) for v in ("fx_customer_urls", "fx_order_urls"))
+    fresh, seen = D.unseen(pages, earlier, "key")
     return fresh.agg(F.count_distinct("key").alias("urls")).withColumn("state", F.lit("new")).unionByName(seen.agg(F.count_distinct("key").alias("urls")).withColumn("state", F.lit("seen")))
 
 
@@ -199,7 +199,7 @@ ORACLES = {
     "latest_decision": "select conv_id, role, turn, text from (select *, row_number() over (partition by conv_id, role order by turn desc) as r from conversations) where r = 1",
     "redacted_export": oracle("fx_items", "select seq, case when source in ('src0','src1','src2','src3','src4') then length(body) end as n_body, 'anon-' || left(sha256('s:' || source), 12) as author from fx_items"),
     "relevance_rank": f"with t as (select doc_id, {_flag('rag')}, {_flag('agente')}, {_flag('teste')} from documents), s as (select doc_id, (least(rag + agente + teste, 5) + 2 * greatest(rag, agente) + 2 * teste)::double as score from t), r as (select *, row_number() over (order by score desc, doc_id) as rank from s) select doc_id, score, rank, (rank - 1) // 25 + 1 as batch from r",
-    "new_urls": f"with p as (select page_id, {PAGES_CANON} as key from pages), o as (select distinct key from p where page_id % 2 = 0) select count(distinct key) as urls, 'new' as state from p where page_id % 2 = 1 and key not in (select key from o) union all select count(distinct key), 'seen' from p where page_id % 2 = 1 and key in (select key from o)",
+    "new_urls": "with s as (select c_custkey in (select o_custkey from orders where o_orderstatus = 'F') as seen from customer) select count(*) filter (where not seen) as urls, 'new' as state from s union all select count(*) filter (where seen), 'seen' from s",
     "automated_titles": "select o_orderkey, true as automated from orders",
     "window_filter": "select o_orderkey from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-07-01'",
     "html_to_text": r"""with a as (select page_id, html as h from pages),

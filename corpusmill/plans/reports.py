@@ -57,7 +57,7 @@ def age_months(spark, sf_dir):  # noqa: ANN001, ANN201
 
 def fetch_targets(spark, sf_dir):  # noqa: ANN001, ANN201
     items = frame(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("seq"), "source", F.array("lang").alias("matched_terms"))
-    return Y.fetch_targets(items, items.where("item_id % 3 = 0"), ["src1", "src2"], F.lit("example.org"), 20).select("item_id")
+    return Y.fetch_targets(items, frame(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")), ["src1", "src2"], F.lit("example.org"), 20).select("item_id")
 
 
 def final_decisions(spark, sf_dir):  # noqa: ANN001, ANN201
@@ -119,7 +119,7 @@ ORACLES = {
     "truncation_counts": oracle("fx_query", " select 'item_limit' as reason, count(*) as queries from fx_query where cut_short union all select 'source_cap', count(*) from fx_query where yr % 2 = 0"),
     "local_filter": "select doc_id, case when regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])ther($|[^\\p{L}\\p{N}_])') then '' else 'no_term_match' end as reason from documents",
     "age_months": "select o_orderkey, round((date '2002-01-01' - o_orderdate::date) / 30.4375, 6) as months from orders",
-    "fetch_targets": "select doc_id as item_id from documents where source in ('src1', 'src2') and doc_id % 3 <> 0 order by doc_id limit 20",
+    "fetch_targets": "select doc_id as item_id from documents where source in ('src1', 'src2') and doc_id not in (select doc_id from labels) order by doc_id limit 20",
     "final_decisions": "select doc_id as item_id, case when doc_id % 5 = 0 then 'include' when quality = toxic then case when quality = 1 then 'include' else 'exclude' end else 'uncertain' end as decision from labels",
     "units_from_codings": oracle("fx_detections", ", d as (select *, split_part(item_id, ':', 2)::int as seq from fx_detections), t as (select unit_id, entry_id, max(rank) as l from d group by 1, 2), ts as (select unit_id, string_agg(entry_id || '=' || l, ';' order by entry_id) as tools from t group by 1) select d.unit_id, string_agg(distinct item_id, ',' order by item_id) as item_ids, string_agg(distinct channel, ',' order by channel) as systems, string_agg(distinct source, ',' order by source) as modes, any_value(tools) as tools, (min(struct_pack(s := seq, e := entry_id)) filter (where rank = 3)).e as oracle, 0 as n_methods from d join ts using (unit_id) group by 1"),
     "resolved_records": "select doc_id as item_id, 'quality' as field, case when toxic = 1 then 'resolved' else quality::varchar end as value from labels",
