@@ -49,15 +49,19 @@ def mentions(items: DataFrame, catalog: list[dict], mode: str = "exact") -> Data
 
 
 def anchored(query: Column, tool: dict) -> Column:
-    """Whether a search was aimed at a tool: at its repository, a config file, an import or its name in workflows."""
-    parts = [F.contains(F.lower(query), F.lit("repo:" + r.lower())) for r in tool.get("repos", ())]
-    parts += [F.contains(F.lower(query), F.lit(f.lower())) for f in tool.get("configs", ())]
-    parts += [query.rlike(rf"(?i)(import|from)\s+{X.quoted(m)}\b") for m in tool.get("imports", ())]
-    parts += [F.contains(F.lower(query), F.lit("path:.github/workflows")) & query.rlike(rf"(?i)(?<![\w-]){X.quoted(tool['token'])}(?![\w-])")]
-    out = F.lit(False)
-    for p in parts:
-        out = out | p
-    return F.coalesce(out, F.lit(False))
+    """Whether a search, in any case, was aimed at a tool; false for a null query.
+
+    It names a repository or config file of the tool, imports one of its modules or a module of its id, asks for
+    workflows with its token as a word, or for repositories by its id.
+    """
+    q = F.lower(query)
+    names = lambda s: F.contains(q, F.lit(s.lower()))
+    word = q.rlike(rf"(?<![\w-]){X.quoted((tool.get('token') or tool['id']).lower())}(?![\w-])")
+    aims = [names("repo:") & names(tool["id"]), names("path:.github/workflows") & word]
+    aims += [names(f"repo:{r}") for r in tool.get("repos", ())] + [names(f) for f in tool.get("configs", ())]
+    for module in (*tool.get("imports", ()), tool["id"]):
+        aims += [names(f"import {module}"), names(f"from {module} import")]
+    return F.coalesce(F.array_contains(F.array(*aims), True), F.lit(False))
 
 
 def code_hits(items: DataFrame, tools: list[dict]) -> DataFrame:

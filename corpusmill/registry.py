@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence, items, reports, study, tables
+from .plans import evidence, items, reports, runs, study, tables
 
-MODULES = (items, tables, study, evidence, reports)
+MODULES = (items, tables, study, evidence, reports, runs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
