@@ -175,10 +175,11 @@ def ranked(rows: DataFrame, order: list[Column], batch: int) -> DataFrame:
     """Adds rank (from 1) and batch over the whole table.
 
     The ranks come from ranges: rows are range-partitioned by the order, numbered within their partition, and shifted
-    by the sizes of the partitions before, so that no single task sees all rows.
+    by the sizes of the partitions before, so that no single task sees all rows. They are stored before that, or what
+    they are made of would be computed once for the ranges' sample and again for the shuffle.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
+    ranged = stored(stored(rows).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()}))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_base"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     rank = F.col("_before") + F.col("_m") - F.col("_base") + 1
