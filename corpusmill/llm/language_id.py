@@ -9,6 +9,8 @@ are parsed in lockstep, a byte of every segment at a time, so that whole texts o
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -84,29 +86,43 @@ def automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """One table for all languages. An entry holds the next state times 4 plus the phrases that the step ends."""
+    """The automata's transitions; the table for all languages is laid out where it is first used and never shipped.
+
+    An entry of the table holds the next state times 4 plus the phrases that the step ends.
+    """
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.languages = sorted(texts)
         self.alphabet = Alphabet([texts[k] for k in self.languages])
-        a, self.starts, parts, at, bits = self.alphabet.size, [], [], 0, []
+        #: For each language the number of transitions of each state, then the code and the next state of each transition.
+        self.steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        starts, at, bits = [], 0, []
         for k in self.languages:
             codes = self.alphabet.encode(texts[k])
             go = automaton(codes.tolist())
-            root = np.array([go[0].get(c, -1) for c in range(a)])
-            # a mismatch ends the phrase at hand, if there is one; an unknown character is a phrase of its own
-            again = (np.where(root < 0, 0, root) + at) * 4 + (root < 0)
-            table = np.tile(again, (len(go), 1))
-            table[1:] += 1
-            for s, steps in enumerate(go):
-                for c, t in steps.items():
-                    table[s, c] = (t + at) * 4
-            self.starts.append(at)
+            sizes = np.fromiter(map(len, go), np.int32, len(go))
+            self.steps.append((sizes, np.fromiter((c for s in go for c in s), np.uint8, sizes.sum()), np.fromiter((t for s in go for t in s.values()), np.int32, sizes.sum())))
+            starts.append(at)
             at += len(go)
-            parts.append(table.astype(np.int32))
+            del go  # before the next one is made
             bits.append(np.log2(max(2, len(codes))))
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-        self.bits, self.starts = np.array(bits), np.array(self.starts, np.int32)
+        self.bits, self.starts = np.array(bits), np.array(starts, np.int32)
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        out = np.empty((sum(len(sizes) for sizes, _, _ in self.steps), self.alphabet.size), np.int32)
+        for at, (sizes, code, to) in zip(self.starts.tolist(), self.steps, strict=True):
+            root = np.full(self.alphabet.size, -1, np.int32)
+            root[code[: sizes[0]]] = to[: sizes[0]]
+            own = out[at : at + len(sizes)]
+            # a mismatch ends the phrase at hand, if there is one; an unknown character is a phrase of its own
+            own[:] = (np.where(root < 0, 0, root) + at) * 4 + (root < 0)
+            own[1:] += 1
+            own[np.repeat(np.arange(len(sizes)), sizes), code] = (to + at) * 4
+        return out.ravel()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def parse(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases by language (rows) and text (columns)."""

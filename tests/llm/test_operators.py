@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import crf_quality, decontaminate, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, queries, secrets, spans, url_filter
+from corpusmill.llm import crf_quality, decontaminate, graph, jaccard_join, language_id, lm_score, mixing, pii, quality_rules, queries, secrets, spans, url_filter
 from corpusmill.llm.common import remainder
 from corpusmill.llm.spans import joined, replaced
 
@@ -339,6 +340,28 @@ def test_jaccard_components(rows, docs, empty, star_rounds):
     assert jaccard_join.linked(empty, segments=8).count() == 0
 
 
+@pytest.mark.parametrize("rows_a_task", [100_000, 40])
+def test_components_of_few_and_of_many_links(spark, monkeypatch, rows_a_task):
+    """Links that fit one task are done in one pass, without star steps; cut up in many, they end in the same components."""
+    rnd = random.Random(31)
+    node = lambda i: f"{i * 7919 % 100_003:06d}".encode()
+    links = [(node(i), node(i + 1)) for i in range(60)] + [(node(100), node(100 + i)) for i in range(1, 60)] + [(node(rnd.randrange(200, 400)), node(rnd.randrange(200, 400))) for _ in range(120)] + [(node(500), node(500))]
+    rnd.shuffle(links)
+    groups = {}
+    for a, b in links:
+        if a != b:
+            both = groups.get(a, {a}) | groups.get(b, {b})
+            groups.update(dict.fromkeys(both, both))
+    passes, real, whole = [], graph.stored, graph.forests
+    monkeypatch.setattr(graph, "stored", lambda frame: passes.append(1) or real(frame))
+    monkeypatch.setattr(graph, "ROWS_A_TASK", rows_a_task)
+    if rows_a_task < 100:
+        monkeypatch.setattr(graph, "forests", lambda frame: whole(frame, held=20))
+    got = graph.components(spark.createDataFrame(links, "a binary, b binary").repartition(8), len(links)).collect()
+    assert sorted((bytes(r.node), bytes(r.root)) for r in got) == sorted((n, min(g)) for n, g in groups.items())
+    assert len(passes) == 1 or rows_a_task < 100
+
+
 def test_jaccard_of_a_shared_template(spark, monkeypatch):
     """Texts that share four fifths of a template without linking make no candidates; links among others are all found."""
     rnd = random.Random(13)
@@ -449,6 +472,19 @@ def test_cross_parsing_against_brute_force():
             assert model.parse([codes])[row, 0] == phrases, (text, name)
 
 
+def test_language_model_ships_small():
+    """What is pickled follows the training text, not the number of states times the alphabet; the copy parses alike."""
+    rnd = random.Random(21)
+    text = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 9))) for _ in range(8_000))
+    texts = {"a": text("abcdefghijklmnopqrstuvwxyz"), "b": text("\u03b1\u03b2\u03b3\u03b4\u03b5\u03b6\u03b7\u03b8") + text("nopqrstuvwxyz")}
+    model = language_id.Model(texts)
+    some = [None, "", "12", texts["a"][:3000], texts["b"][-3000:], text("abcxyz\u03b1\u732b")]
+    before = model.predict(some)
+    sent = pickle.dumps(model)
+    assert len(sent) < model.alphabet.points.nbytes + 24 * sum(len(t.encode()) for t in texts.values())
+    assert pickle.loads(sent).predict(some) == before
+
+
 def test_language_is_learned_from_different_texts(spark, monkeypatch):
     """Groups of copies larger than the sample, one of which comes first by hash, take one place each."""
     learned = {}
